@@ -29,7 +29,7 @@ def p2_percentiles(spark, d):
 def p2_certified(spark, d):
     found = quantiles.symbol_percentiles(table(spark, d, "complex_symbols"))
     bound = F.when(F.col("q") == 0.5, quantiles.error_bound(0.5)).when(F.col("q") == 0.9, quantiles.error_bound(0.9)).otherwise(quantiles.error_bound(0.99))
-    return found.select("level", "repo_id", "module", "day", F.round("q", 2).alias("q"), "n", F.round("avg", 4).alias("avg"), (F.col("rank_error") <= bound + 1 / F.col("n")).alias("within"))
+    return found.select("level", "repo_id", "module", F.col("day").cast("string").alias("day"), F.round("q", 2).alias("q"), "n", F.round("avg", 4).alias("avg"), (F.col("rank_error") <= bound + 1 / F.col("n")).alias("within"))
 
 
 def p3_found(spark, d):
@@ -127,7 +127,7 @@ SELECT member_id, min(pos)::INT AS span_start, (max(pos) + any_value(m))::INT AS
 WITH d AS (SELECT DISTINCT run_id, repo_id, node_id, file_path, measured_at, complexity FROM complex_symbols WHERE complexity >= 1),
 c AS (SELECT repo_id, complexity, measured_at::DATE AS d, {_MODULE} AS m FROM (SELECT *, list_filter(string_split(replace(file_path, '\\', '/'), '/'), lambda x: x <> '') AS p FROM d)),
 a AS ({_SUM.format(level="day", module="m", day="d")} UNION ALL {_SUM.format(level="module", module="m", day="NULL::DATE")} UNION ALL {_SUM.format(level="repo", module="NULL::VARCHAR", day="NULL::DATE")})
-SELECT level, repo_id, module, day, q, n, avg, true AS within FROM a, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) t(q)""",
+SELECT level, repo_id, module, day::VARCHAR AS day, q, n, avg, true AS within FROM a, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) t(q)""",
     "p3_found": _pairs("HAVING count(*) <= 50", "WHERE s.s * n.n >= 4 * x.n * y.n", "s.repo_id, file_a, file_b"),
     "p3_pairs": _pairs("", "", "s.repo_id, file_a, file_b, n.n AS commits, x.n AS commits_a, y.n AS commits_b, s.s AS shared_commits, round(s.s * n.n / (x.n * y.n), 6) AS lift"),
     "p7_found": "SELECT file_id FROM files WHERE strlen(content) > (SELECT max_bytes FROM chunk_options WHERE option_name = 'content')",
