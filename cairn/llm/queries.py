@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.llm import encoding, handwritten, mixing, pieces, quantiles, secrets, spans, subjects, together
+from cairn.llm import encoding, handwritten, mixing, pieces, quantiles, secrets, spans, subjects, syntax, together
 from cairn.plans.runtime import table
 
 
@@ -53,6 +53,18 @@ def p4_hotspot_paths(spark, d):
     return handwritten.classify_paths(table(spark, d, "file_hotspots"))
 
 
+def p5_found(spark, d):
+    return syntax.found(table(spark, d, "files"))
+
+
+def p5_repairs(spark, d):
+    return syntax.check(table(spark, d, "files"))
+
+
+def p5_rates(spark, d):
+    return syntax.rates(table(spark, d, "files"))
+
+
 def p6_found(spark, d):
     return secrets.scan(table(spark, d, "files")).select("file_id", "line_no")
 
