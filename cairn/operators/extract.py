@@ -32,7 +32,7 @@ def env_inventory(files: DataFrame) -> DataFrame:
     conf = files.where("content is not null and language is null and path rlike '\\\\.(env|properties)$|(^|/)\\\\.env$'")
     dec = conf.select("repo_id", F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*(?:export[ \t]+)?([A-Za-z][\w.\-]*)[ \t]*="), F.lit(1))).alias("name")).distinct().withColumn("declared", F.lit(True))
     use = files.where("content is not null and language is not null").select("repo_id", F.explode(F.regexp_extract_all("content", F.lit(_ENV_USE), F.lit(0))).alias("m"))
-    use = use.select("repo_id", F.regexp_extract("m", r"([A-Za-z_][\w.\-]*)['\"]?\s*\]?$", 1).alias("name")).groupBy("repo_id", "name").agg(F.count(F.lit(1)).alias("uses"))
+    use = use.select("repo_id", F.coalesce(F.nullif(F.regexp_extract("m", r"['\"]([^'\"]+)['\"]", 1), F.lit("")), F.regexp_extract("m", r"(\w+)$", 1)).alias("name")).groupBy("repo_id", "name").agg(F.count(F.lit(1)).alias("uses"))
     return dec.join(use, ["repo_id", "name"], "full_outer").select("repo_id", "name", F.coalesce("declared", F.lit(False)).alias("declared"), F.coalesce("uses", F.lit(0).cast("long")).alias("uses"))
 
 
@@ -69,8 +69,8 @@ def mentions(texts: DataFrame, names: DataFrame, key: str = "doc_id", text: str
 
 
 def parse_hunks(diffs: DataFrame, text: str = "diff") -> DataFrame:
-    """(file, start, end) of unified diffs (one text a row): pure deletions and removed files are left out."""
-    lines = diffs.select(F.monotonically_increasing_id().alias("d"), F.posexplode(F.split(text, "\n")).alias("i", "l"))
+    """(file, start, end) of unified diffs (one text a row, equal texts once): pure deletions and removed files are left out."""
+    lines = diffs.select(text).distinct().select(F.sha2(text, 256).alias("d"), F.posexplode(F.split(text, "\n")).alias("i", "l"))
     w = Window.partitionBy("d").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     named = lines.withColumn("file", F.last(F.when(F.col("l").rlike(r"^\+\+\+ "), F.regexp_replace(F.regexp_replace("l", r"^\+\+\+ ", ""), r"^b/", "")), ignorenulls=True).over(w))
     pat = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
