@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.plans.runtime import spread
+
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 #: Fixed value: the pattern that splits text before the merges of these rank files.
@@ -70,7 +72,7 @@ def _mapper(fn, out_type: pa.DataType, name: str):
 
 def encode_column(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str = DEFAULT_RANKS) -> DataFrame:
     """(key, ids array<int>), one row a row of ``docs``: no shuffle, whole texts, null and empty give an empty list."""
-    return docs.select(F.col(key), F.col(text).cast("string").alias("t")).mapInArrow(_mapper(lambda t: encode(t, ranks_path), pa.list_(pa.int32()), "ids"), f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
+    return spread(docs.select(F.col(key), F.col(text).cast("string").alias("t")), key).mapInArrow(_mapper(lambda t: encode(t, ranks_path), pa.list_(pa.int32()), "ids"), f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
 
 
 def count_column(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str = DEFAULT_RANKS) -> DataFrame:
