@@ -45,3 +45,12 @@ def is_empty(df: DataFrame) -> bool:
 def salt(buckets: int, *cols: str) -> Column:
     """A deterministic salt of ``buckets`` values; the same after a retry, unlike rand()."""
     return F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores if its scan has fewer partitions than there are; by a hash of ``key``, so that a retry gives
+    the same parts. Inputs with at least as many partitions as cores stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
