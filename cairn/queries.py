@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cairn.cypher import CypherEngine
 from cairn.functions.text import cosine, module_of, path_weight, source_lines, terms
 from cairn.graph import PropertyGraph, call_graph, from_star_schema
-from cairn.operators import extract, history, quality, search, traverse
+from cairn.operators import extract, history, inventory, quality, search, traverse
 from cairn.plans.runtime import table
 from cairn.streaming import maintain
 
@@ -192,6 +192,30 @@ _add("event_windows", lambda s, d: maintain.windowed_counts(table(s, d, "events"
 _add("term_frequencies", lambda s, d: table(s, d, "documents").select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), f"SELECT term, count(*) AS n FROM (SELECT unnest({_TERMS.format('text')}) AS term FROM documents) GROUP BY 1")
 _add("embedding_pairs", lambda s, d: (lambda e: e.where("vec_id % 20 = 0").alias("q").join(e.alias("x"), F.col("q.label") == F.col("x.label")).where("q.vec_id <> x.vec_id").groupBy(F.col("q.vec_id").alias("vec_id")).agg(F.round(F.max(cosine(F.col("q.embedding"), F.col("x.embedding"))), 5).alias("best")))(table(s, d, "embeddings")), "SELECT q.vec_id, round(max(list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[])), 5) AS best FROM embeddings q JOIN embeddings x ON q.label = x.label AND q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1")
 
+# ---- inventory
+
+
+def _member(g):
+    return g.nodes.select("id", F.concat(F.lit("m"), (F.col("key") % 6).cast("string")).alias("module"))
+
+
+_DEP = "d AS (SELECT 'm' || split_part(s, ':', 2)::INT % 6 AS source, 'm' || split_part(t, ':', 2)::INT % 6 AS target, count(*) AS n FROM calls GROUP BY 1, 2)"
+_add("graph_stats", lambda s, d: inventory.stats(from_star_schema(s, d)), f"WITH {NODES}, {EDGES} SELECT 'label' AS kind, label AS name, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'type', type, count(*) FROM edges GROUP BY 2")
+_add("connected_files", lambda s, d: inventory.connected_files(from_star_schema(s, d)), f"WITH {NODES}, {EDGES}, x AS (SELECT s AS id FROM edges UNION ALL SELECT t FROM edges) SELECT file_path, count(*) AS degree FROM x JOIN nodes USING (id) GROUP BY 1")
+_add("symbols_per_file", lambda s, d: inventory.symbols_per_file(from_star_schema(s, d)), f"WITH {NODES} SELECT file_path, count(*) AS symbols FROM nodes WHERE file_path IS NOT NULL GROUP BY 1")
+_add("module_dependencies", lambda s, d: (lambda g: inventory.module_dependencies(g, _member(g)))(call_graph(s, d)), f"WITH {CALLS}, {_DEP} SELECT * FROM d WHERE source <> target")
+_add("module_stats", lambda s, d: (lambda g: inventory.module_stats(g, _member(g)))(call_graph(s, d)), f"WITH {CALLS}, {_DEP}, x AS (SELECT * FROM d WHERE source <> target) SELECT module, members, files, coalesce((SELECT sum(n) FROM x WHERE target = module), 0)::BIGINT AS calls_in, coalesce((SELECT sum(n) FROM x WHERE source = module), 0)::BIGINT AS calls_out FROM (SELECT 'm' || s_suppkey % 6 AS module, count(*) AS members, count(DISTINCT s_nationkey) AS files FROM supplier GROUP BY 1)")
+_add("hub_symbol", lambda s, d: inventory.hub(call_graph(s, d)), f"WITH {CALLS} SELECT t AS id, s_name AS name, count(*) AS calls FROM calls JOIN supplier ON t = 'Function:' || s_suppkey GROUP BY 1, 2 ORDER BY calls DESC, id LIMIT 1")
+_add("token_account", lambda s, d: inventory.token_account(table(s, d, "files")), "SELECT count(*) AS files, sum(b)::BIGINT AS bytes, floor(sum(b) / 4)::BIGINT AS tokens FROM (SELECT coalesce(strlen(content), size, 0) AS b FROM files)")
+_add("repo_overview", lambda s, d: inventory.overview(table(s, d, "files")), "SELECT repo_id, coalesce(language, 'other') AS language, count(*) AS files, sum(coalesce(strlen(content), size, 0))::BIGINT AS bytes FROM files GROUP BY 1, 2")
+_add("snapshot_summary", lambda s, d: (lambda g: inventory.snapshot_summary(PropertyGraph(g.nodes.where("key % 10 <> 2"), g.edges), PropertyGraph(g.nodes.where("key % 10 <> 1"), g.edges)))(from_star_schema(s, d)), f"WITH {NODES} SELECT label, count(*) FILTER (key % 10 <> 2) AS before, count(*) FILTER (key % 10 <> 1) AS after, count(*) FILTER (key % 10 = 2) AS added, count(*) FILTER (key % 10 = 1) AS removed FROM nodes GROUP BY 1")
+_add("process_steps_renumbered", lambda s, d: inventory.renumber(table(s, d, "events").where("user_id is not null").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("process"), F.col("event_id").cast("string").alias("id"), F.col("event_id").alias("step"))), "SELECT 'u' || user_id AS process, event_id::VARCHAR AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS step FROM events WHERE user_id IS NOT NULL")
+_add("hits_by_process", lambda s, d: inventory.hits_by_process(table(s, d, "events").where("event_id % 50 = 0").select(F.col("event_id").cast("string").alias("id"), F.col("value").alias("score")), table(s, d, "events").where("user_id % 2 = 0").select(F.col("user_id").cast("string").alias("process"), F.col("event_id").cast("string").alias("id"))).select("process", F.size("hits").alias("n"), F.round("best", 6).alias("best")), "SELECT CASE WHEN user_id % 2 = 0 THEN user_id::VARCHAR END AS process, count(*)::INT AS n, round(max(value), 6) AS best FROM events WHERE event_id % 50 = 0 GROUP BY 1")
+_add("find_symbols", lambda s, d: inventory.find_symbols(from_star_schema(s, d).nodes, "nation_1").select("id", "name"), f"WITH {NODES} SELECT id, name FROM nodes WHERE contains(lower(name), 'nation_1') ORDER BY (lower(name) <> 'nation_1')::INT, length(name), id LIMIT 20")
+_add("context_filter", lambda s, d: inventory.context_filter(from_star_schema(s, d).nodes, files=("customer/BUILDING", "nation"), labels=("Customer", "Nation")).select("id"), f"WITH {NODES} SELECT id FROM nodes WHERE label IN ('Customer', 'Nation') AND (file_path = 'customer/BUILDING' OR starts_with(file_path, 'customer/BUILDING/') OR starts_with(file_path, 'nation/'))")
+_add("rename_preview", lambda s, d: inventory.rename_preview(table(s, d, "files").select(F.concat_ws("|", "repo_id", "path").alias("path"), "content"), "ledger", s.createDataFrame([], "path string, line_no int")).select("path", "line_no"), r"WITH l AS (SELECT repo_id || '|' || path AS path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line_no FROM files WHERE content IS NOT NULL) SELECT path, line_no FROM l WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])ledger($|[^A-Za-z0-9_])')")
+_add("reading_guide", lambda s, d: (lambda g: inventory.reading_guide(inventory.module_stats(g, _member(g)).withColumn("rank", F.lit(0.5))).withColumn("score", F.round("score", 6)))(call_graph(s, d)), f"WITH {CALLS}, {_DEP}, x AS (SELECT * FROM d WHERE source <> target), q AS (SELECT module, members, files, coalesce((SELECT sum(n) FROM x WHERE target = module), 0) AS i, coalesce((SELECT sum(n) FROM x WHERE source = module), 0) AS o FROM (SELECT 'm' || s_suppkey % 6 AS module, count(*) AS members, count(DISTINCT s_nationkey) AS files FROM supplier GROUP BY 1)) SELECT module, round((0.4 * 0.5 + 0.25 * members / max(members) OVER () + coalesce(0.15 * i / nullif(max(i) OVER (), 0), 0) + coalesce(0.12 * o / nullif(max(o) OVER (), 0), 0) + 0.08 * files / max(files) OVER ())::DOUBLE, 6) AS score FROM q")
+
 
 def flagship(s, d):
     """Which nations' customers sit in which region: a two-hop pattern."""
