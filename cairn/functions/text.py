@@ -59,3 +59,31 @@ def cosine(a: Column, b: Column) -> Column:
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     n = norm(a) * norm(b)
     return F.when((F.size(a) == F.size(b)) & (n > 0), dot / n).otherwise(0.0)
+
+
+# Scores of names that start, handle or merely help.
+ENTRY_SCORES = {"main": 1.0, "init": 0.8, "bootstrap": 0.9, "start": 0.85, "run": 0.8, "setup": 0.7, "configure": 0.7, "register": 0.6, "mount": 0.6, "listen": 0.7, "serve": 0.7, "execute": 0.6, "launch": 0.8, "create_app": 0.9, "create_server": 0.9}
+HANDLER_SCORES = {"handle": 0.7, "on": 0.5, "process": 0.6, "dispatch": 0.6, "route": 0.6, "middleware": 0.5}
+HELPER_SCORES = {"is": 0.1, "has": 0.1, "get": 0.15, "set": 0.15, "to": 0.1, "from": 0.15, "parse": 0.15, "format": 0.1, "validate": 0.15, "normalize": 0.1, "convert": 0.1, "transform": 0.1}
+
+
+def entry_score(name: Column) -> Column:
+    """How likely a name is an entry point: whole names, then handler prefixes, then helper prefixes; null for none."""
+    low = F.lower(name)
+    out = F.when(name.isNull(), None)
+    for word, score in ENTRY_SCORES.items():
+        out = out.when(low == word, score)
+    for group in (HANDLER_SCORES, HELPER_SCORES):
+        for word, score in group.items():
+            out = out.when(low.startswith(word) & F.substring(name, len(word) + 1, 1).rlike(r"[_\p{Lu}]"), score)
+    return out
+
+
+def embedding_text(name: Column, path: Column, description: Column, content: Column, limit: int = 1000) -> Column:
+    """What a model embeds of a node: its name, path, description and the head of its content."""
+    return F.concat_ws(" ", name, path, description, F.substring(F.trim(content), 1, limit))
+
+
+def build_artifact(path: Column) -> Column:
+    """Whether a path lies in a folder that builds fill."""
+    return F.lower(F.translate(path, "\\", "/")).rlike(r"target/(?:debug|release)/|node_modules/|dist/")

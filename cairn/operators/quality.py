@@ -287,3 +287,39 @@ def clones(members: DataFrame, *, min_tokens: int = 30, threshold: float = 0.9,
     least = good.join(comp, good.source_id == comp.id).groupBy("component").agg(F.min("sim").alias("similarity"))
     grouped = classes.join(comp, classes.cls == comp.id).groupBy("run_id", "component").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("members"))
     return grouped.where(F.size("members") > 1).join(least, "component", "left").select("run_id", F.element_at("members", 1).alias("cluster"), "members", F.round(F.coalesce("similarity", F.lit(1.0)), 6).alias("similarity"))
+
+
+def file_cycles(graph: PropertyGraph, longest: int = 6) -> DataFrame:
+    """(nodes array<string>): simple cycles of IMPORTS and DEPENDS_ON up to ``longest`` files, each once, from its least file.
+
+    Only edges inside strongly connected components can be in a cycle; paths start at their least node and never pass a
+    lesser one, so no cycle is found twice.
+    """
+    e = graph.typed("IMPORTS", "DEPENDS_ON").select("source_id", "target_id").distinct()
+    c = cut(strong_components(e))
+    a, b = c.select(F.col("id").alias("source_id"), F.col("component").alias("ca")), c.select(F.col("id").alias("target_id"), F.col("component").alias("cb"))
+    inside = cut(e.join(a, "source_id").join(b, "target_id").where("ca = cb").select("source_id", "target_id"))
+    live = inside.where("source_id <= target_id").select(F.col("source_id").alias("head"), F.col("target_id").alias("at"), F.array("source_id", "target_id").alias("path"))
+    out = live.where("head = at").select(F.array("head").alias("nodes"))
+    live = live.where("head <> at")
+    for _ in range(longest - 1):
+        live = cut(live)
+        step = live.join(inside, live["at"] == inside.source_id).where("target_id >= head")
+        out = out.unionByName(step.where("target_id = head").select(F.col("path").alias("nodes")))
+        live = step.where("target_id <> head").where(~F.array_contains("path", F.col("target_id"))).select("head", F.col("target_id").alias("at"), F.concat("path", F.array("target_id")).alias("path"))
+    return out.distinct()
+
+
+def health_score(hotspot, cohesion_, tracing, owned):
+    """(Column) 0 to 100: .30 calm files + .25 cohesion + .20 tracing + .25 ownership, each from 0 to 1."""
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (0.30 * hotspot + 0.25 * cohesion_ + 0.20 * tracing + 0.25 * owned))), 1)
+
+
+def grade(score):
+    whole = F.floor(score)
+    return F.when(whole >= 90, "A").when(whole >= 75, "B").when(whole >= 60, "C").when(whole >= 40, "D").otherwise("E")
+
+
+def activity(history: DataFrame, summary: DataFrame, keep: int = 200) -> DataFrame:
+    """The history with a further summary row, the last ``keep`` rows by time."""
+    return history.unionByName(summary).orderBy(F.desc("ts")).limit(keep)

@@ -122,3 +122,11 @@ def keywords(text: str) -> list[str]:
     import re
 
     return list(dict.fromkeys(w for w in re.split(r"\W+", text.lower()) if len(w) > 2 and w not in stop))
+
+
+def rerank(hits: DataFrame, score, limit: int = 30) -> DataFrame:
+    """The first ``limit`` hits in the order of ``score`` (a Column over their columns), the others behind them as they were;
+    none is dropped, hits without a score come last of the first. The default of the engine is no reranking."""
+    head = F.col("rank") <= limit
+    order = [F.when(head, 0).otherwise(1), F.when(head, score).desc_nulls_last(), F.col("rank")]
+    return hits.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -24,3 +24,30 @@ def test_rename_and_processes(spark):
     assert [r["id"] for r in inventory.search_processes(ps, "LOGIN").collect()] == ["q", "p"]
     pri = inventory.enrichment_priority(spark.createDataFrame([("a", 1.0, None, 0.5, 0.0, 0.0), ("b", 0.1, 0.0, 0.0, 0.0, 0.0)], "id string, hotspot double, coupling double, size double, untested double, dead double")).collect()
     assert [(r["id"], round(r["priority"], 3)) for r in pri] == [("a", 0.45)]
+
+
+def test_traces(spark):
+    from cairn.sources import traces
+
+    lines = ["noise", "[Shop.Cart.Add] START", "Variable 'id' (Type: int) = 7", "Variable 'id' (Type: int) = 8", "[y] RESULT | ok", "z ===== EF INSERT ===== INSERT INTO t", "Variable 'lost' (Type: int) = 1", "10:00 [Shop.Pay] START "]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no int, line string")
+    steps = traces.log_steps(df)
+    got = [(r["step"], r["method"], r["params"]) for r in steps.orderBy("step").collect()]
+    assert got == [(1, "Shop.Cart.Add", {"id": "8", "return_value": "ok"}), (2, "Database.Insert", None), (3, "Shop.Pay", {})]
+    nodes = spark.createDataFrame([("1", "Add", "src/Other.cs"), ("2", "Add", "src/Cart.cs")], "id string, name string, file_path string")
+    assert {r["step"]: r["id"] for r in traces.resolve_steps(steps, nodes).collect()} == {1: "2", 2: None, 3: None}
+
+
+def test_names_ranks_and_cycles(spark):
+    from pyspark.sql import functions as F
+
+    from cairn.functions.text import entry_score
+    from cairn.operators import quality, search
+
+    names = spark.createDataFrame([("main",), ("handleClick",), ("on_load",), ("once",), ("getUser",), ("other",), (None,)], "n string")
+    assert [r[0] for r in names.select(entry_score(F.col("n"))).collect()] == [1.0, 0.7, 0.5, None, 0.15, None, None]
+    hits = spark.createDataFrame([("a", 1, 0.1), ("b", 2, 0.9), ("c", 3, 9.0)], "id string, rank int, s double")
+    assert [r["id"] for r in search.rerank(hits, F.col("s"), 2).orderBy("rank").collect()] == ["b", "a", "c"]
+    edges = spark.createDataFrame([(f"{a}{b}", a, b, "IMPORTS", 1.0, "", None) for a, b in ("ab", "ba", "bc", "ca", "dd", "ef")], E)
+    g = PropertyGraph(spark.createDataFrame([("a",)], "id string"), edges)
+    assert sorted(r["nodes"] for r in quality.file_cycles(g).collect()) == [["a", "b"], ["a", "b", "c"], ["d"]]
