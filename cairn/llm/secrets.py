@@ -46,7 +46,7 @@ _CALL = re.compile(r"\.(?:set_?|with_?|add_?)?(?:password|passwd|secret|token|cr
 _JOINED = re.compile(r"(\"[A-Za-z0-9+/_=.\-]{6,}\"|'[A-Za-z0-9+/_=.\-]{6,}')((?:\s*(?:\+|\.\.?|\|\|)?\s*(?:\"[A-Za-z0-9+/_=.\-]{6,}\"|'[A-Za-z0-9+/_=.\-]{6,}'))+)")
 _BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----([\s\S]*?)(?:-----END \1-----|\Z)")
 _PLACEHOLDER = re.compile(
-    r"^(?:$|.*[<>{}\s]|[$%][\w({]|env[:(.]|vault[:/]|ssm:|secret(?:s|manager)?:|ref(?:\+|:)|file:|op://|arn:|redacted|removed|hidden$|none$|null$|nil$|true$|false$|undefined$|change|todo|tbd|example|dummy|sample$|placeholder|insert|your|my_?|x{3,}|\*+|\.{3,}|-+$|0+$|@|#|process\.|os\.|sys\.|self\.|this\.|config\.|settings\.|%s$|\?$)",
+    r"^(?:$|.*[<>{}\s]|\$[({]|\$[A-Za-z_]\w*$|%[({]|%\w$|%\w+%$|env[:(.]|vault[:/]|ssm:|secret(?:s|manager)?:|ref(?:\+|:)|file:|op://|arn:|redacted|removed|hidden$|none$|null$|nil$|true$|false$|undefined$|change|todo|tbd|example|dummy|sample$|placeholder|insert|your|my[_-]|x{3,}$|x{6,}|\*+$|\.{3,}|-+$|0+$|process\.|os\.|sys\.|self\.|this\.|config\.|settings\.|%s$|\?$)",
     re.I,
 )
 
