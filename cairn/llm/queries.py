@@ -37,7 +37,7 @@ def p3_found(spark, d):
 
 
 def p3_pairs(spark, d):
-    pairs = together.coupled_files(table(spark, d, "commit_files"), max_files=None)
+    pairs = together.coupled_files(table(spark, d, "commit_files"), max_files=None, min_shared=1)  # every pair; the floor of five is p3_found's
     return pairs.select("repo_id", F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"), F.col("baskets").alias("commits"), F.col("count_a").alias("commits_a"), F.col("count_b").alias("commits_b"), F.col("shared").alias("shared_commits"), F.round("lift", 6).alias("lift"))
 
 

@@ -168,3 +168,14 @@ def test_mix(spark):
     again = {r["doc_id"]: r["copies"] for r in mixing.mix(d.repartition(7), w).collect()}
     assert again == {r["doc_id"]: r["copies"] for r in rows}
     assert mixing.mix(d.limit(0), w).count() == 0 and mixing.mix(d, w.limit(0)).count() == 0
+
+
+def test_every_pair_of_files_comes_out(spark, tmp_path):
+    from cairn.llm import queries
+
+    commits = {(1, "c0"): ["src/a.py", "./src//b.py"], (1, "c1"): ["src/a.py", "src\\b.py", "src/c.py"], (2, "c0"): ["src/a.py"], (2, "c1"): [f"f{i:02}" for i in range(60)]}
+    spark.createDataFrame([(g, c, f) for (g, c), files in commits.items() for f in files], 'repo_id long, `commit` string, file string').write.parquet(f"{tmp_path}/commit_files.parquet")
+    got = {(r["repo_id"], r["file_a"], r["file_b"]): (r["commits"], r["commits_a"], r["commits_b"], r["shared_commits"], r["lift"]) for r in queries.p3_pairs(spark, str(tmp_path)).collect()}
+    want = {(1, "src/a.py", "src/b.py"): (2, 2, 2, 2, 1.0), (1, "src/a.py", "src/c.py"): (2, 2, 1, 1, 1.0), (1, "src/b.py", "src/c.py"): (2, 2, 1, 1, 1.0)}
+    assert got == want | {(2, a, b): (2, 1, 1, 1, 2.0) for a, b in combinations([f"f{i:02}" for i in range(60)], 2)}
+    assert queries.p3_found(spark, str(tmp_path)).count() == 0
