@@ -157,3 +157,16 @@ def test_subjects_agree_with_raters(spark):
     mine = subjects.assign(scored).join(rated.select("doc_id").distinct(), "doc_id", "left_semi")
     both = mine.join(rated, ["doc_id", "subject"]).count()
     assert 2 * both / (mine.count() + rated.count()) > 0.9
+
+
+def test_a_text_of_many_subjects_keeps_its_greatest(spark):
+    seven = {"agriculture": "Ernte", "education": "Diplom", "energy": "Kraftwerk", "finance": "Bilanz", "health": "Apotheke", "law": "Anwalt", "logistics": "Fracht"}
+    df = spark.createDataFrame([(1, ", ".join(seven.values()) + "."), (2, ", ".join([*seven.values(), "Diplom"]) + ".")], "doc_id long, text string")
+    got = {}
+    for r in subjects.found(df).collect():
+        got.setdefault(r["doc_id"], set()).add(r["subject"])
+    assert got == {1: set(seven), 2: {"education"}}
+    # one heavy mention over the threshold beside two light ones of the most mentioned subject
+    scored = [(3, "law", 1, 1.5, 0.25, 2, 0.25), (3, "finance", 2, 1.1, 0.19, 2, 0.25), (3, "sport", 1, 1.0, 0.17, 2, 0.25)]
+    kept = subjects.assign(spark.createDataFrame(scored, "doc_id long, subject string, n long, weight double, share double, best long, top double"))
+    assert [r["subject"] for r in kept.collect()] == ["law"]
