@@ -265,27 +265,35 @@ def processes(graph: PropertyGraph, *, depth: int = 10, fan: int = 4, least: int
     return paths.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").orderBy(F.desc("length"), "entry", "terminal").limit(keep)
 
 
-def clones(members: DataFrame, *, min_tokens: int = 30, threshold: float = 0.9, width: int = 30) -> DataFrame:
+def clones(members: DataFrame, *, min_tokens: int = 30, threshold: float = 0.9, width: int = 30, block: int = 64) -> DataFrame:
     """(run_id, cluster, members, similarity): clusters of functions whose token sets agree at the threshold (Jaccard).
 
-    Candidates share an exact shingle of ``width`` tokens. Members with equal token lists stand as one class, so a shared
-    shingle links each class to the least class that holds it and to the next in order: a class list is never paired
-    with itself in full. Verified links make the components.
+    Members with equal token lists stand as one class. Every two classes of a run that share an exact shingle of ``width``
+    tokens are candidates, but for those whose set sizes alone rule the threshold out; each candidate is verified once.
+    Verified links make the components, similarity is the least of them (1 within one class).
+
+    A shingle's class list is split into blocks of about ``block`` classes by a hash; each pair of blocks is a product in a
+    group of its own, so a hot list is compared in full but never gathered whole.
     """
     own = members.where((F.size("tokens") >= min_tokens) & F.col("run_id").isNotNull()).select("run_id", "member_id", "tokens")
     keyed = own.withColumn("cls", F.concat_ws(":", F.col("run_id").cast("string"), F.sha2(F.concat_ws("\u0001", "tokens"), 256)))
-    classes = cut(keyed.groupBy("cls", "run_id").agg(F.first("tokens").alias("tokens"), F.array_sort(F.collect_list("member_id")).alias("ids")))
-    shingles = classes.select("run_id", "cls", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("tokens") - width), lambda i: F.xxhash64(F.concat_ws("\u0001", F.slice(F.col("tokens"), i + 1, width)))))).alias("h"))
-    w = Window.partitionBy("run_id", "h").orderBy("cls")
-    near = shingles.withColumn("a", F.lag("cls").over(w)).withColumn("z", F.first("cls").over(w))
-    links = near.where("a is not null").select(F.col("cls").alias("b"), F.explode(F.array_distinct(F.array("a", "z"))).alias("a")).where("a <> b").distinct()
-    s = lambda k: classes.select(F.col("cls").alias(k), F.array_distinct("tokens").alias(f"t{k}"))
+    classes = cut(keyed.groupBy("cls", "run_id").agg(F.first("tokens").alias("tokens"), F.array_sort(F.collect_list("member_id")).alias("ids")).withColumn("id", F.monotonically_increasing_id()))
+    shingles = classes.select("run_id", "id", F.size(F.array_distinct("tokens")).alias("size"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("tokens") - width), lambda i: F.xxhash64(F.concat_ws("\u0001", F.slice(F.col("tokens"), i + 1, width)))))).alias("h"))
+    held = shingles.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("run_id", "h"))).where("held > 1")
+    k = F.ceil(F.col("held") / block).cast("int")
+    placed = held.withColumn("k", k).withColumn("c", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    sides = placed.select("run_id", "h", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), F.struct("id", "size", "c").alias("x")).repartition("run_id", "h", "lo", "hi")
+    lists = sides.groupBy("run_id", "h", "lo", "hi").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    paired = lists.select("lo", "hi", F.posexplode("xs").alias("p", "x"), "xs").select("lo", "hi", "x", F.explode(F.expr("slice(xs, p + 2, size(xs))")).alias("y"))
+    fits = F.least("x.size", "y.size") / F.greatest("x.size", "y.size") >= threshold
+    links = paired.where(((F.col("lo") == F.col("hi")) | (F.col("x.c") != F.col("y.c"))) & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    s = lambda n: classes.select(F.col("id").alias(n), F.array_distinct("tokens").alias(f"t{n}"))
     both = links.join(s("a"), "a").join(s("b"), "b")
     sim = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
     good = cut(both.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), sim.alias("sim")).where(F.col("sim") >= threshold))
-    comp = components(good, classes.select(F.col("cls").alias("id")))
+    comp = components(good, classes.select("id"))
     least = good.join(comp, good.source_id == comp.id).groupBy("component").agg(F.min("sim").alias("similarity"))
-    grouped = classes.join(comp, classes.cls == comp.id).groupBy("run_id", "component").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("members"))
+    grouped = classes.join(comp, "id").groupBy("run_id", "component").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("members"))
     return grouped.where(F.size("members") > 1).join(least, "component", "left").select("run_id", F.element_at("members", 1).alias("cluster"), "members", F.round(F.coalesce("similarity", F.lit(1.0)), 6).alias("similarity"))
 
 

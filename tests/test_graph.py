@@ -118,3 +118,17 @@ def test_empty_graph(spark):
 def test_star_schema(spark, sf):
     g = from_star_schema(spark, sf)
     assert g.dangling().count() == 0 and g.nodes.count() == g.nodes.select("id").distinct().count()
+
+
+def test_clones_compare_every_pair_of_a_hot_list(spark):
+    rng = random.Random(7)
+    boiler = [f"b{i}" for i in range(30)]
+    rows = []
+    for i in range(24):  # two families in turn that share only the boilerplate
+        tail = [f"{'xy'[i % 2]}{j}" for j in range(20)]
+        rng.shuffle(tail)
+        rows.append((1, i, [*boiler, *tail, f"own{i}"]))
+    df = spark.createDataFrame(rows, "run_id long, member_id long, tokens array<string>")
+    want = [(1, list(range(0, 24, 2)), round(50 / 52, 6)), (1, list(range(1, 24, 2)), round(50 / 52, 6))]
+    for block in (64, 5, 1):
+        assert sorted((r["run_id"], r["members"], r["similarity"]) for r in quality.clones(df, block=block).collect()) == want
