@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.text import cosine, label_weight, path_weight, terms
 from cairn.graph import PropertyGraph
+from cairn.plans.runtime import salt
 from cairn.schema import FTS_LABELS
 
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -84,6 +85,17 @@ def knn(vectors: DataFrame, query: list[float], limit: int, *, key: str = "node_
     return top(vectors.select(F.col(key).alias("id"), cosine(F.col(vector), q).alias("score")), limit)
 
 
+def nearest(queries: DataFrame, rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", parts: int = 64) -> DataFrame:
+    """(key, best): the greatest cosine of each query to any row of another key, exact.
+
+    Rows are dealt to ``parts`` blocks by a hash of their key and the queries go to each block, so no group follows the
+    data; the greatest of a block is taken before blocks meet. A null key does not count; a query alone gives no row.
+    """
+    q = queries.select(F.col(key).alias("q"), F.col(vector).alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).repartition(parts, "part")
+    x = rows.select(F.col(key).alias("x"), F.col(vector).alias("xv"), salt(parts, key).alias("part")).repartition(parts, "part")  # by number: small blocks are not merged into one task
+    return q.join(x, "part").where("q <> x").groupBy(F.col("q").alias(key)).agg(F.max(cosine(F.col("qv"), F.col("xv"))).alias("best"))
+
+
 def rrf(lists: dict[str, DataFrame], limit: int) -> DataFrame:
     """(id, score, sources, rank): sum of 1 / (60 + rank) over ranked lists, ties by id."""
     all_ = None

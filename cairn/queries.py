@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.cypher import CypherEngine
-from cairn.functions.text import cosine, module_of, path_weight, source_lines, terms
+from cairn.functions.text import module_of, path_weight, source_lines, terms
 from cairn.graph import PropertyGraph, call_graph, from_star_schema
 from cairn.operators import extract, history, inventory, quality, search, traverse
 from cairn.plans.runtime import table
@@ -190,7 +190,7 @@ _add("source_lines", lambda s, d: table(s, d, "files").where("content is not nul
 _add("modules_of_files", lambda s, d: table(s, d, "files").select("file_id", module_of(F.col("path")).alias("module")), f"SELECT file_id, {_MOD} AS module FROM (SELECT file_id, list_filter(string_split(replace(path, '\\', '/'), '/'), lambda x: x <> '') AS p FROM files)")
 _add("event_windows", lambda s, d: maintain.windowed_counts(table(s, d, "events"), "1 hour").select(F.col("start").cast("string").alias("start"), "event_type", "n", F.round("total", 4).alias("total")), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 _add("term_frequencies", lambda s, d: table(s, d, "documents").select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), f"SELECT term, count(*) AS n FROM (SELECT unnest({_TERMS.format('text')}) AS term FROM documents) GROUP BY 1")
-_add("embedding_pairs", lambda s, d: (lambda e: e.where("vec_id % 20 = 0").alias("q").join(e.alias("x"), F.col("q.label") == F.col("x.label")).where("q.vec_id <> x.vec_id").groupBy(F.col("q.vec_id").alias("vec_id")).agg(F.round(F.max(cosine(F.col("q.embedding"), F.col("x.embedding"))), 5).alias("best")))(table(s, d, "embeddings")), "SELECT q.vec_id, round(max(list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[])), 5) AS best FROM embeddings q JOIN embeddings x ON q.label = x.label AND q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1")
+_add("embedding_pairs", lambda s, d: (lambda e: search.nearest(e.where("vec_id % 20 = 0"), e).withColumn("best", F.round("best", 5)))(table(s, d, "embeddings")), "SELECT q.vec_id, round(max(list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[])), 5) AS best FROM embeddings q JOIN embeddings x ON q.label = x.label AND q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1")
 
 # ---- inventory
 

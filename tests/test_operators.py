@@ -152,3 +152,11 @@ def test_entry_without_the_subpackage(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_nearest_vector_of_any_label(spark, tmp_path):
+    from cairn.queries import QUERIES
+
+    rows = [(0, [1.0, 0.0], 0), (1, [1.0, 0.0], 1), (2, [0.0, 1.0], 0), (20, [0.6, 0.8], 7), (21, [0.0, -1.0], 2)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r["vec_id"]: r["best"] for r in QUERIES["embedding_pairs"](spark, str(tmp_path)).collect()} == {0: 1.0, 20: 0.8}
