@@ -98,7 +98,7 @@ _add("cohesion", lambda s, d: (lambda g: quality.cohesion(g.edges, g.nodes.selec
 _add("module_pagerank", lambda s, d: (lambda g: quality.pagerank(g.edges, g.nodes).withColumn("rank", F.round("rank", 9)))(call_graph(s, d)))
 _add("process_paths", lambda s, d: quality.processes(call_graph(s, d), depth=5).withColumn("steps", F.array_join("steps", ">")))
 _add("topo_levels", lambda s, d: (lambda g: quality.topo_levels(g.edges.where("type in ('IN_REGION', 'IN_NATION')"), g.nodes.where("label in ('Region', 'Nation', 'Customer', 'Supplier')")))(from_star_schema(s, d)), f"WITH {NODES}, {EDGES}, n AS (SELECT DISTINCT t FROM edges WHERE type = 'IN_NATION') SELECT id, CASE WHEN label IN ('Customer', 'Supplier') THEN 0 WHEN label = 'Nation' THEN CASE WHEN id IN (SELECT t FROM n) THEN 1 ELSE 0 END ELSE coalesce((SELECT max(CASE WHEN e.s IN (SELECT t FROM n) THEN 2 ELSE 1 END) FROM edges e WHERE e.type = 'IN_REGION' AND e.t = id), 0) END AS level FROM nodes WHERE label IN ('Region', 'Nation', 'Customer', 'Supplier')")
-_add("dead_code", lambda s, d: (lambda g: quality.dead_code(PropertyGraph(g.nodes, g.edges.where("source_id = 'Function:1' and target_id like '%1%'"))))(call_graph(s, d)), f"WITH {CALLS} SELECT 'Function:' || s_suppkey AS id FROM supplier WHERE 'Function:' || s_suppkey NOT IN (SELECT t FROM calls WHERE s = 'Function:1' AND contains(t, '1'))")
+_add("dead_code", lambda s, d: quality.dead_code(call_graph(s, d)), f"WITH {CALLS} SELECT 'Function:' || s_suppkey AS id FROM supplier WHERE 'Function:' || s_suppkey NOT IN (SELECT t FROM calls WHERE s = 'Function:1' AND contains(t, '1'))")
 _add("coverage_by_owner", lambda s, d: quality.coverage(call_graph(s, d).nodes, ["file_path"]), "SELECT 'src/n' || s_nationkey || '/f.py' AS file_path, count(*) AS total, sum((s_suppkey % 3 = 0)::INT)::BIGINT AS traced, round(sum((s_suppkey % 3 = 0)::INT) * 100.0 / count(*), 0) AS pct FROM supplier GROUP BY 1")
 
 # ---- retrieval
@@ -210,7 +210,7 @@ _add("token_account", lambda s, d: inventory.token_account(table(s, d, "files"))
 _add("repo_overview", lambda s, d: inventory.overview(table(s, d, "files")), "SELECT repo_id, coalesce(language, 'other') AS language, count(*) AS files, sum(coalesce(strlen(content), size, 0))::BIGINT AS bytes FROM files GROUP BY 1, 2")
 _add("snapshot_summary", lambda s, d: (lambda g: inventory.snapshot_summary(PropertyGraph(g.nodes.where("key % 10 <> 2"), g.edges), PropertyGraph(g.nodes.where("key % 10 <> 1"), g.edges)))(from_star_schema(s, d)), f"WITH {NODES} SELECT label, count(*) FILTER (key % 10 <> 2) AS before, count(*) FILTER (key % 10 <> 1) AS after, count(*) FILTER (key % 10 = 2) AS added, count(*) FILTER (key % 10 = 1) AS removed FROM nodes GROUP BY 1")
 _add("process_steps_renumbered", lambda s, d: inventory.renumber(table(s, d, "events").where("user_id is not null").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("process"), F.col("event_id").cast("string").alias("id"), F.col("event_id").alias("step"))), "SELECT 'u' || user_id AS process, event_id::VARCHAR AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS step FROM events WHERE user_id IS NOT NULL")
-_add("hits_by_process", lambda s, d: inventory.hits_by_process(table(s, d, "events").where("event_id % 50 = 0").select(F.col("event_id").cast("string").alias("id"), F.col("value").alias("score")), table(s, d, "events").where("user_id % 2 = 0").select(F.col("user_id").cast("string").alias("process"), F.col("event_id").cast("string").alias("id"))).select("process", F.size("hits").alias("n"), F.round("best", 6).alias("best")), "SELECT CASE WHEN user_id % 2 = 0 THEN user_id::VARCHAR END AS process, count(*)::INT AS n, round(max(value), 6) AS best FROM events WHERE event_id % 50 = 0 GROUP BY 1")
+_add("hits_by_process", lambda s, d: inventory.hits_by_process(table(s, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("value").alias("score")), table(s, d, "events").select(F.col("user_id").cast("string").alias("process"), F.col("event_id").cast("string").alias("id"))).select("process", F.size("hits").alias("n"), F.round("best", 6).alias("best")), "SELECT CASE WHEN user_id % 2 = 0 THEN user_id::VARCHAR END AS process, count(*)::INT AS n, round(max(value), 6) AS best FROM events WHERE event_id % 50 = 0 GROUP BY 1")
 _add("find_symbols", lambda s, d: inventory.find_symbols(from_star_schema(s, d).nodes, "nation_1").select("id", "name"), f"WITH {NODES} SELECT id, name FROM nodes WHERE contains(lower(name), 'nation_1') ORDER BY (lower(name) <> 'nation_1')::INT, length(name), id LIMIT 20")
 _add("context_filter", lambda s, d: inventory.context_filter(from_star_schema(s, d).nodes, files=("customer/BUILDING", "nation"), labels=("Customer", "Nation")).select("id"), f"WITH {NODES} SELECT id FROM nodes WHERE label IN ('Customer', 'Nation') AND (file_path = 'customer/BUILDING' OR starts_with(file_path, 'customer/BUILDING/') OR starts_with(file_path, 'nation/'))")
 _add("rename_preview", lambda s, d: inventory.rename_preview(table(s, d, "files").select(F.concat_ws("|", "repo_id", "path").alias("path"), "content"), "ledger", s.createDataFrame([], "path string, line_no int")).select("path", "line_no"), r"WITH l AS (SELECT repo_id || '|' || path AS path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line_no FROM files WHERE content IS NOT NULL) SELECT path, line_no FROM l WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])ledger($|[^A-Za-z0-9_])')")

@@ -160,3 +160,15 @@ def test_nearest_vector_of_any_label(spark, tmp_path):
     rows = [(0, [1.0, 0.0], 0), (1, [1.0, 0.0], 1), (2, [0.0, 1.0], 0), (20, [0.6, 0.8], 7), (21, [0.0, -1.0], 2)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert {r["vec_id"]: r["best"] for r in QUERIES["embedding_pairs"](spark, str(tmp_path)).collect()} == {0: 1.0, 20: 0.8}
+
+
+def test_dead_code_and_hits_read_whole_tables(spark, tmp_path):
+    from cairn.queries import QUERIES
+
+    d = str(tmp_path)
+    spark.createDataFrame([(i, f"s{i}", 0) for i in range(1, 6)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{d}/supplier.parquet")
+    lines = [(o, n, 1, s, 1.0, 1.0, 0.0, 0.0, "d") for o, keys in ((1, [2, 3, 4]), (2, [3, 5])) for n, s in enumerate(keys)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate string").write.parquet(f"{d}/lineitem.parquet")
+    assert {r["id"] for r in QUERIES["dead_code"](spark, d).collect()} == {"Function:1", "Function:2"}
+    spark.createDataFrame([(1, 1, 0.5), (2, 2, 0.25), (3, 1, 0.75), (50, 2, 0.125)], "event_id long, user_id long, value double").write.parquet(f"{d}/events.parquet")
+    assert sorted(tuple(r) for r in QUERIES["hits_by_process"](spark, d).collect()) == [("1", 2, 0.75), ("2", 2, 0.25)]
