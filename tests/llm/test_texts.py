@@ -170,3 +170,14 @@ def test_a_text_of_many_subjects_keeps_its_greatest(spark):
     scored = [(3, "law", 1, 1.5, 0.25, 2, 0.25), (3, "finance", 2, 1.1, 0.19, 2, 0.25), (3, "sport", 1, 1.0, 0.17, 2, 0.25)]
     kept = subjects.assign(spark.createDataFrame(scored, "doc_id long, subject string, n long, weight double, share double, best long, top double"))
     assert [r["subject"] for r in kept.collect()] == ["law"]
+
+
+def test_an_outgrown_chart_gives_a_lower_bound(monkeypatch):
+    cases = [("java", "stmt", "i=ii;"), ("python", "simple", "i=i="), ("java", "stmt", "i=(i;")]
+    syntax.repair.cache_clear()
+    whole = [syntax.repair(*c)[0] for c in cases]
+    for items in (1, 5, 20, 80):
+        monkeypatch.setattr(syntax, "MAX_ITEMS", items)
+        syntax.repair.cache_clear()
+        assert all(1 <= syntax.repair(*c)[0] <= n for c, n in zip(cases, whole))
+    syntax.repair.cache_clear()
