@@ -14,8 +14,8 @@ BLANK, TOP, LINE, SPACE, INSIDE = 0.0, 0.05, 0.2, 1.0, 3.0
 def boundaries(data: bytes, max_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted byte positions at which data may be cut, each between whole characters, and their penalties.
 
-    Line starts always count. Only where they are more than max_bytes / 16 apart, white space does too, and where that
-    is further apart, any character start about that far on; so the number of positions is in proportion to the length.
+    Line starts always count. In a line of more than max_bytes / 16 every white space does too, and where that is further
+    apart, any character start about that far on; so the number of positions is in proportion to the length.
     """
     n, gap = len(data), max(4, max_bytes // 16)
     raw = np.frombuffer(data, np.uint8)
@@ -28,28 +28,23 @@ def boundaries(data: bytes, max_bytes: int) -> tuple[np.ndarray, np.ndarray]:
         two, three = raw[np.maximum(lines - 2, 0)], raw[np.maximum(lines - 3, 0)]
         before = ((lines >= 2) & (two == 10)) | ((lines >= 3) & (two == 13) & (three == 10))
     pen = np.where(before & ~indented, BLANK, np.where(~indented, TOP, LINE))
-    best = (pen < LINE) | before
-    # of the plain lines keep one about every gap/4 bytes
-    bucket = lines // max(1, gap // 4)
-    keep = best | np.append(True, bucket[1:] != bucket[:-1]) if len(lines) else best
-    pos, pen = [lines[keep]], [pen[keep]]
+    pos, pen = [lines], [pen]
     edges = np.concatenate([[0], lines, [n]])
     for a, b in zip(edges[:-1][np.diff(edges) > gap], edges[1:][np.diff(edges) > gap]):
-        at = int(a)
-        extra, cost = [], []
-        while b - at > gap:
-            window = data[at + gap // 2 : at + gap]
-            hit = max(window.rfind(b" "), window.rfind(b"\t"))
-            if hit >= 0:
-                at, c = at + gap // 2 + hit + 1, SPACE
-            else:
-                at, c = at + gap, INSIDE
-                while at > 0 and at < n and raw[at] & 0xC0 == 0x80:
+        line = raw[a : b - 1]
+        spaces = np.flatnonzero((line == 32) | (line == 9)) + a + 1
+        pos.append(spaces)
+        pen.append(np.full(len(spaces), SPACE))
+        stops = np.concatenate([[a], spaces, [b]])
+        for at, end in zip(stops[:-1][np.diff(stops) > gap].tolist(), stops[1:][np.diff(stops) > gap].tolist()):
+            extra = []
+            while end - at > gap:
+                at += gap
+                while at > 0 and raw[at] & 0xC0 == 0x80:
                     at -= 1
-            extra.append(at)
-            cost.append(c)
-        pos.append(np.array(extra, np.int64))
-        pen.append(np.array(cost))
+                extra.append(at)
+            pos.append(np.array(extra, np.int64))
+            pen.append(np.full(len(extra), INSIDE))
     pos, pen = np.concatenate(pos), np.concatenate(pen)
     order = np.argsort(pos, kind="stable")
     pos, pen = pos[order], pen[order]

@@ -179,3 +179,13 @@ def test_every_pair_of_files_comes_out(spark, tmp_path):
     want = {(1, "src/a.py", "src/b.py"): (2, 2, 2, 2, 1.0), (1, "src/a.py", "src/c.py"): (2, 2, 1, 1, 1.0), (1, "src/b.py", "src/c.py"): (2, 2, 1, 1, 1.0)}
     assert got == want | {(2, a, b): (2, 1, 1, 1, 2.0) for a, b in combinations([f"f{i:02}" for i in range(60)], 2)}
     assert queries.p3_found(spark, str(tmp_path)).count() == 0
+
+
+def test_every_line_start_and_white_space_may_be_cut():
+    text = b"".join(b"    line %03d\n" % i for i in range(400))
+    pos, _ = pieces.boundaries(text, 6000)
+    assert set(pos.tolist()) == {i + 1 for i, c in enumerate(text[:-1]) if c == 10}
+    words = b" ".join(b"w%04d" % i for i in range(2000))
+    pos, pen = pieces.boundaries(words, 6000)
+    assert pos.tolist() == [i + 1 for i, c in enumerate(words) if c == 32] and set(pen.tolist()) == {pieces.SPACE}
+    check_pieces(words + b"x" * 20_000 + "字".encode() * 5000, 6000, 600)
