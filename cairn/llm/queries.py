@@ -126,15 +126,26 @@ SELECT {columns} FROM s JOIN n USING (repo_id) JOIN i x ON x.repo_id = s.repo_id
 _MODULE = r"""CASE WHEN file_path IS NULL THEN NULL WHEN len(p) = 0 THEN '(root)' WHEN len(p) > 1 AND NOT contains(p[2], '.') THEN p[1] || '/' || p[2] ELSE p[1] END"""
 _SUM = "SELECT '{level}' AS level, repo_id, {module} AS module, {day} AS day, count(*) AS n, round(avg(complexity), 4) AS avg FROM c GROUP BY ALL"
 
-ORACLES = {
-    "p1_found": """
-WITH o AS (SELECT min_tokens AS m FROM clone_options WHERE option_name = 'strict'),
+_SPANS = """o AS (SELECT min_tokens AS m FROM clone_options WHERE option_name = 'strict'),
 w AS (SELECT run_id, member_id, i - 1 AS pos, md5(list_slice(tokens, i, i + m - 1)::VARCHAR) AS h, m FROM clone_members, o, range(1, 100000) t(i) WHERE i <= len(tokens) - m + 1),
 k AS (SELECT run_id, h FROM w GROUP BY 1, 2 HAVING min(member_id) < max(member_id)),
 s AS (SELECT DISTINCT member_id, pos, m FROM w JOIN k USING (run_id, h)),
 g AS (SELECT *, CASE WHEN pos > coalesce(lag(pos) OVER (PARTITION BY member_id ORDER BY pos), -m - 1) + m THEN 1 ELSE 0 END AS fresh FROM s),
-r AS (SELECT *, sum(fresh) OVER (PARTITION BY member_id ORDER BY pos) AS span FROM g)
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY member_id ORDER BY pos) AS span FROM g)"""
+
+ORACLES = {
+    "p1_found": f"""
+WITH {_SPANS}
 SELECT member_id, min(pos)::INT AS span_start, (max(pos) + any_value(m))::INT AS span_end FROM r GROUP BY member_id, span""",
+    "p1_shared": f"""
+WITH {_SPANS},
+f AS (SELECT member_id, (max(pos) + any_value(m)) - min(pos) AS n FROM r GROUP BY member_id, span),
+v AS (SELECT member_id, sum(n)::BIGINT AS n FROM f GROUP BY 1),
+ll AS (SELECT run_id, member_id, z, md5(list_slice(tokens, i, i + z - 1)::VARCHAR) AS h FROM clone_members, (SELECT (m * 2 ** k)::INT AS z FROM o, range(0, 14) t(k)), range(1, 100000) t(i) WHERE i <= len(tokens) - z + 1),
+lk AS (SELECT run_id, z, h FROM ll GROUP BY 1, 2, 3 HAVING min(member_id) < max(member_id)),
+lm AS (SELECT member_id, max(z) AS z FROM ll JOIN lk USING (run_id, z, h) GROUP BY 1)
+SELECT c.member_id, coalesce(len(c.tokens), 0) AS n_tokens, coalesce(v.n, 0) AS shared_tokens, CASE WHEN coalesce(len(c.tokens), 0) > 0 THEN round(coalesce(v.n, 0) / len(c.tokens), 6) ELSE 0.0 END AS shared_ratio, coalesce(lm.z, 0) AS longest_level
+FROM clone_members c LEFT JOIN v USING (member_id) LEFT JOIN lm USING (member_id)""",
     "p2_certified": f"""
 WITH d AS (SELECT DISTINCT run_id, repo_id, node_id, file_path, measured_at, complexity FROM complex_symbols WHERE complexity >= 1),
 c AS (SELECT repo_id, complexity, measured_at::DATE AS d, {_MODULE} AS m FROM (SELECT *, list_filter(string_split(replace(file_path, '\\', '/'), '/'), lambda x: x <> '') AS p FROM d)),
