@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import base64
+import json
 import math
 import re
+import unicodedata
+import zlib
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +22,7 @@ KEYWORDS = tuple(
     "pass pwd _pw .pw -pw secret token api_key apikey api-key api.key access_key accesskey access.key license_key license.key private key cred credential "
     "login authenticate auth_ authoriz bearer basic passwort kennwort mot_de_passe mot.de.passe contrase akia asia xox ghp_ gho_ ghs_ ghu_ github_pat_ glpat- npm_ pypi- "
     "sk_live rk_live sk_test sk- aiza eyj pk-srv -----begin :// sig= signature= signing".split()
-) + ('" + "', "' + '")
+) + ('" + "', "' + '", "root /", "admin /", "user /", "postgres /", "deploy /", "guest /", "svc_", "svc-", "root: ", "admin: ")
 
 #: Issuer formats, fixed values of their issuers.
 ISSUERS = {
@@ -45,10 +50,23 @@ _ASSIGN = re.compile(
 _CALL = re.compile(r"\.(?:set_?|with_?|add_?)?(?:password|passwd|secret|token|credentials?|api_?key|login|authenticate|auth)\(\s*(\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`)(?:\s*,\s*(\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`))?\s*\)", re.I)
 _JOINED = re.compile(r"(\"[A-Za-z0-9+/_=.\-]{6,}\"|'[A-Za-z0-9+/_=.\-]{6,}')((?:\s*(?:\+|\.\.?|\|\|)?\s*(?:\"[A-Za-z0-9+/_=.\-]{6,}\"|'[A-Za-z0-9+/_=.\-]{6,}'))+)")
 _BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----([\s\S]*?)(?:-----END \1-----|\Z)")
-_PLACEHOLDER = re.compile(
-    r"^(?:$|.*[<>{}\s]|\$[({]|\$[A-Za-z_]\w*$|%[({]|%\w$|%\w+%$|env[:(.]|vault[:/]|ssm:|secret(?:s|manager)?:|ref(?:\+|:)|file:|op://|arn:|redacted|removed|hidden$|none$|null$|nil$|true$|false$|undefined$|change|todo|tbd|example|dummy|sample$|placeholder|insert|your|my[_-]|x{3,}$|x{6,}|\*+$|\.{3,}|-+$|0+$|process\.|os\.|sys\.|self\.|this\.|config\.|settings\.|%s$|\?$)",
-    re.I,
+#: A comment that names an account and, after a slash or colon, what lets it in.
+_ACCOUNT = re.compile(r"(?:^|[\s(])(?:root|admin(?:istrator)?|sa|svc[_\-]\w+|\w*user|postgres|mysql|oracle|deploy|guest|operator)\s*(?:/|:)\s+(\S{5,})", re.I)
+#: Values that stand for another: references, interpolations and stretches of one filler, each as a whole.
+_REFERENCE = re.compile(
+    r"(?:<.*>|\{\{.*\}\}|\{\w*\}|.*(?:\$\{|\{\{|\$\(|#\{).*|\$[A-Za-z_]\w*|%\(\w+\)s|%\w|%\w+%|(?:env|vault|ssm|secrets?|secretsmanager|file|keyring)[:(/].*|ref\+.*|op://.*|arn:.*"
+    r"|(?:process|os|sys|self|this|config|settings|env|environ)(?:\.\w+)+(?:\(.*\)|\[.*\])?|\S*\s.*|\W*|[xX]{3,}|(.)\1*)",
+    re.S,
+)
+#: Words a template is made of; a value of nothing but these stands for no credential.
+_TEMPLATE = frozenset(
+    "a an and api access add any at auth be by change changed changeit changeme default deploy do dummy empty enter example fake false fill field fixme for from get goes "
+    "hash here hidden id in input insert is it key label login me missing mock must my name new nil no none not null of on or pass passwd password passphrase placeholder please "
+    "private production prompt put pwd redacted removed replace replaced required sample secret set some string tbd text that the this to todo token true type undefined unset update use user "
+    "username value vault with you your".split()
 )
+_FILLER = frozenset("changeme dummy example fake placeholder redacted todo".split())
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_a-zA-Z]+")
 
 
 def entropy(s: str) -> float:
@@ -56,9 +74,17 @@ def entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
 
 
+def _template(value: str) -> bool:
+    words = [w.lower() for w in _WORD.findall(value)]
+    count = [w for w in words if w.isdigit()]
+    if any(w not in _TEMPLATE for w in words if not w.isdigit()):
+        return False
+    return not count or bool(_FILLER & set(words)) and all(w in "01234567890" for w in count)
+
+
 def usable(value: str) -> bool:
-    """Whether a value could grant access as it stands: no placeholder, reference, sentence, or a stretch of one character."""
-    return len(value) >= 5 and not _PLACEHOLDER.match(value) and len(set(value)) > 3
+    """Whether a value could grant access as it stands: as a whole no reference, template, filler or mask of this module."""
+    return len(value) >= 5 and len(set(value)) > 3 and not _REFERENCE.fullmatch(value) and not _template(value) and mask(value) != value
 
 
 def _secret_word(value: str) -> bool:
@@ -67,9 +93,74 @@ def _secret_word(value: str) -> bool:
     return kinds >= 2 and bool(re.search(r"[\d!#%&*+~^?@$=/]", value))
 
 
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def _crc_holds(token: str) -> bool:
+    """The last six characters of a token with a checksum are the CRC-32 of the rest behind its prefix, in base 62."""
+    body = token.rsplit("_", 1)[-1]
+    n = 0
+    for c in body[-6:]:
+        n = n * 62 + _BASE62.find(c) if c in _BASE62 else -1 << 40
+    return len(body) > 6 and n == zlib.crc32(body[:-6].encode())
+
+
+def _json_holds(part: str) -> bool:
+    try:
+        return isinstance(json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))), dict)
+    except ValueError:
+        return False
+
+
+def _der_holds(block: str) -> bool:
+    """The body decodes to one DER sequence of just its length, or to the container of an OpenSSH key."""
+    body = re.sub(r"-----[^-\n]*-----|\\[nrt]|[\"'] *\+ *[\"']|[\"'\s]|^[\w-]+:.*$", "", block, flags=re.M)
+    try:
+        der = base64.b64decode(body, validate=True)
+    except ValueError:
+        return False
+    if der[:15] == b"openssh-key-v1\0":
+        return True
+    if len(der) < 4 or der[0] != 0x30:
+        return False
+    if der[1] < 0x80:
+        return len(der) == 2 + der[1]
+    k = der[1] & 0x7F
+    return len(der) == 2 + k + int.from_bytes(der[2 : 2 + k], "big")
+
+
+def proof(value: str, kind: str) -> str:
+    """How far a found value bears itself out: ``checksum``, ``structure``, or ``format`` where neither holds or there is
+    none. It only adds: a token whose checksum fails is still one that a reader must not see."""
+    token = "".join(re.findall(r"[\"']?([^\"']*)[\"']?", re.sub(r"[\"'] *\+ *[\"']", "", value)))
+    if token[:3] in ("ghp", "gho", "ghs", "ghu", "ghr") or token[:4] == "npm_":
+        return "checksum" if _crc_holds(token) else "format"
+    if token[:3] == "eyJ" and token.count(".") == 2:
+        return "structure" if _json_holds(token.split(".")[0]) and _json_holds(token.split(".")[1]) else "format"
+    if kind == "private_key":
+        return "structure" if _der_holds(value) else "format"
+    if kind == "header":
+        try:
+            return "structure" if re.fullmatch(rb"[^\s:]+:\S+", base64.b64decode(value, validate=True)) else "format"
+        except ValueError:
+            return "format"
+    return "format"
+
+
 def _is_structured(value: str) -> bool:
-    """Issuer formats and decodable structures outrank the placeholder rules."""
-    return bool(_ISSUER.fullmatch(value))
+    """Issuer formats outrank the template rules unless they are an issuer's own example or a mask; a checksum or a
+    decoded structure outranks those too."""
+    m = _ISSUER.fullmatch(value)
+    return bool(m) and (_shown(value) or proof(value, m.lastgroup or "") != "format")
+
+
+def _shown(value: str) -> bool:
+    return len(set(value)) > 6 and not re.search(r"EXAMPLE|x{6,}", value)
+
+
+def _password_word(key: str, value: str) -> bool:
+    """A long word of letters only, behind the name of a password: a passphrase, unless it names itself."""
+    return bool(re.search(r"(?i)(?:pass(?:word|wd|phrase|wort|code)?|pwd|kennwort|(?<![a-z])pw)$", key)) and len(value) >= 16 and value.isalpha() and value.islower() and not re.search(r"pass|word|secret|token|field|label|input|example", value)
 
 
 def _uuid_or_digest(value: str) -> bool:
@@ -103,6 +194,8 @@ _SIGS = _ids("sig=", "signature=", "token", "api_key", "api-key", "://")
 _FLAGS = _ids("pass", "token", "secret", "pwd", "api-key")
 _HEADERS = _ids("bearer", "basic", "token")
 _NOTES = _ids("login", "cred", "pass", "pwd", "secret", "token", "authoriz", "authenticate")
+_ACCOUNTS = _ids("root /", "admin /", "user /", "postgres /", "deploy /", "guest /", "svc_", "svc-", "root: ", "admin: ")
+_IN_COMMENT = re.compile(r"//|#|/\*|^\s*\*|--|<!--|\"\"\"")
 _NAMES = _ids("pass", "pwd", "_pw", ".pw", "-pw", "secret", "token", "api_key", "apikey", "api-key", "api.key", "access_key", "accesskey", "access.key", "license_key", "license.key", "credential", "auth_", "passwort", "kennwort", "mot_de_passe", "mot.de.passe", "contrase", "signing")
 _JOINS = _ids('" + "', "' + '")
 
@@ -138,11 +231,12 @@ def find(text: str | None, config: bool = False) -> list[tuple[int, int, str]]:
             for m in _BLOCK.finditer(text, start):
                 if m.start() >= stop:
                     break
-                if len(re.sub(r"[^A-Za-z0-9+/]", "", m.group(2))) >= 32:
+                body = re.sub(r"[^A-Za-z0-9+/]", "", re.sub(r"\\[nrt]", "", m.group(2)))
+                if len(body) >= 32 and mask(body) != body:
                     spans.append((m.start(), m.end(), "private_key"))
         if words & _FORMATS:
             for m in _ISSUER.finditer(line):
-                if len(set(m.group())) > 6 and not re.search(r"EXAMPLE|x{6,}", m.group()):
+                if _is_structured(m.group()):
                     own.append((m.start(), m.end(), m.lastgroup or "issuer"))
         if words & _URLS:
             for m in _URL.finditer(line):
@@ -159,13 +253,18 @@ def find(text: str | None, config: bool = False) -> list[tuple[int, int, str]]:
         if words & _NOTES:
             for m in _COMMENT.finditer(line):
                 v = m.group(1).rstrip(".,;)*/")
-                if re.search(r"//|#|/\*|^\s*\*|--|<!--|\"\"\"", line[: m.start()]) and usable(v) and _secret_word(v):
+                if _IN_COMMENT.search(line[: m.start() + 1]) and usable(v) and _secret_word(v):
                     own.append((m.start(1), m.start(1) + len(v), "comment"))
             for m in _CALL.finditer(line):
                 g = 2 if m.group(2) else 1
                 v = m.group(g)[1:-1]
                 if usable(v) and _secret_word(v):
                     own.append((m.start(g) + 1, m.end(g) - 1, "call"))
+        if words & _ACCOUNTS:
+            for m in _ACCOUNT.finditer(line):
+                v = m.group(1).rstrip(".,;)*/")
+                if _IN_COMMENT.search(line[: m.start() + 1]) and usable(v) and _secret_word(v):
+                    own.append((m.start(1), m.start(1) + len(v), "comment"))
         if words & _NAMES:
             for m in _ASSIGN.finditer(line):
                 raw = m.group("val")
@@ -174,7 +273,7 @@ def find(text: str | None, config: bool = False) -> list[tuple[int, int, str]]:
                 quoted = raw[0] in "\"'`"
                 at = m.start("val") + quoted
                 value = raw[1:-1] if quoted else re.sub(r"\s+#.*$", "", raw.split("</")[0]).rstrip(" \t\r,")
-                if _is_structured(value) or _kept(value) and (_secret_word(value) or entropy(value) > 3.5 and len(value) >= 20):
+                if _is_structured(value) or _kept(value) and (_secret_word(value) or entropy(value) > 3.5 and len(value) >= 20 or quoted and _password_word(m.group("key"), value)):
                     own.append((at, at + len(value), "assigned"))
         if words & _JOINS:
             for m in _JOINED.finditer(line):
@@ -192,14 +291,36 @@ def find(text: str | None, config: bool = False) -> list[tuple[int, int, str]]:
     return out
 
 
-_FILL = {**{c: "x" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "X" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "0123456789"}}
-_MASK = str.maketrans(_FILL)
+#: Marks a mask may use, the safest first: none of them ends a string or starts a reference.
+_SAFE = "_-.+=~^!@*:/,;?|"
+
+
+@lru_cache(maxsize=4096)
+def _letter(c: str) -> str:
+    """The mask of a letter, digit or mark of any script: of the same kind and width, from the same block of 128."""
+    if c.isascii():
+        return "x" if c.islower() else "X" if c.isupper() else "0" if c.isdigit() else ""
+    if unicodedata.category(c) == "Nd":
+        return chr(ord(c) - unicodedata.decimal(c))
+    if c.isspace():
+        return c
+    kind, block = unicodedata.category(c), ord(c) & ~0x7F
+    return next(chr(k) for k in range(block, block + 128) if unicodedata.category(chr(k)) == kind)
+
+
+def mask(value: str) -> str:
+    """A placeholder of the same length and alphabet: letters by x or X of their case (in other scripts the first letter
+    of that kind), digits by 0, marks all by one mark the value holds (``_`` where none of those is safe)."""
+    one = next((c for c in _SAFE if c in value), "_")
+    return "".join(c if c.isspace() else _letter(c) or one for c in value)
+
+
 _WORDS = re.compile(r"-----(?:BEGIN|END)[A-Z0-9 ]*-----|\\[nrt\"'\\]|[\"'] *\+ *[\"']|[\"']\s*[\"']")
 
 
 def redact(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
-    """The text with each span masked: letters by x or X of their case, digits by 0, all other characters kept, so that
-    length, lines, quotes and escapes stay; the marks of a key block and of joined strings stay too."""
+    """The text with each span masked, every character of it (see mask), so that length and lines stay; escapes, the marks
+    of a key block and the quotes of joined strings stay too, as they belong to the code and not to the value."""
     if text is None or not spans:
         return text
     out, at = [], 0
@@ -207,36 +328,36 @@ def redact(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
         out.append(text[at:s])
         part, p = text[s:e], 0
         for m in _WORDS.finditer(part):
-            out.append(part[p : m.start()].translate(_MASK))
+            out.append(mask(part[p : m.start()]))
             out.append(m.group())
             p = m.end()
-        out.append(part[p:].translate(_MASK))
+        out.append(mask(part[p:]))
         at = e
     out.append(text[at:])
     return "".join(out)
 
 
 def scan(files: DataFrame, *, key: str = "file_id", text: bool = False) -> DataFrame:
-    """(file_id, line_no, kind), one row a credential, lines counted from 1; with text=True instead (file_id, content),
-    one row a file, its credentials masked. Null and empty contents hold none and stay as they are. No shuffle."""
+    """(file_id, line_no, kind, proof), one row a credential, lines counted from 1, proof as of proof(); with text=True
+    instead (file_id, content), one row a file, its credentials masked. Null and empty contents hold none and stay as they are. No shuffle."""
     slim = files.select(F.col(key).alias("k"), F.col("content"), F.col("language").isNull().alias("config"))
     kind = files.schema[key].dataType.simpleString()
 
     def lines(batches):
         for batch in batches:
-            ks, no, kinds = [], [], []
+            ks, no, kinds, proofs = [], [], [], []
             for k, t, c in zip(*(x.to_pylist() for x in batch.columns)):
                 last = line = 0
-                for s, _, what in find(t, bool(c)):
+                for s, e, what in find(t, bool(c)):
                     line += t.count("\n", last, s)
                     last = s
-                    ks.append(k), no.append(line + 1), kinds.append(what)
-            yield pa.RecordBatch.from_arrays([pa.array(ks, batch.schema.field(0).type), pa.array(no, pa.int32()), pa.array(kinds, pa.string())], names=["k", "line_no", "kind"])
+                    ks.append(k), no.append(line + 1), kinds.append(what), proofs.append(proof(t[s:e], what))
+            yield pa.RecordBatch.from_arrays([pa.array(ks, batch.schema.field(0).type), pa.array(no, pa.int32()), pa.array(kinds, pa.string()), pa.array(proofs, pa.string())], names=["k", "line_no", "kind", "proof"])
 
     def masked(batches):
         for batch in batches:
             texts = [redact(t, find(t, bool(c))) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["k", "content"])
 
-    out = slim.mapInArrow(masked, f"k {kind}, content string") if text else slim.mapInArrow(lines, f"k {kind}, line_no int, kind string")
+    out = slim.mapInArrow(masked, f"k {kind}, content string") if text else slim.mapInArrow(lines, f"k {kind}, line_no int, kind string, proof string")
     return out.withColumnRenamed("k", key)

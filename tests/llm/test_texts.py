@@ -1,8 +1,10 @@
 """Files, secrets, syntax, ids and subjects."""
 
 import ast
+import base64
 import random
 import warnings
+import zlib
 
 import pytest
 
@@ -42,6 +44,36 @@ def test_secret_lines(line, want):
     assert bool(secrets.find("x\n" + line + "\ny")) is want
 
 
+ODD = ["p@ss{w}ord9Z", "changeling77!Qx", "Your7Secret!x", "My-Secret-Pass1", "correcthorsebattery", "\u043a\u043b\u044e\u0447\u0421\u0435\u043a\u0440\u0435\u04429!\u043f\u0430\u0440\u043e\u043b\u044c", "!@#$%^&*()_+!@#$%^&*()", "\u06601\u0663aB\u30a2!\u4e2d\u6587x"]
+
+
+@pytest.mark.parametrize("value", ODD)
+def test_odd_values_are_found_and_gone(value):
+    text = f"a = 1\ndb_password = '{value}'\n"
+    hits = secrets.find(text)
+    assert [text[s:e] for s, e, _ in hits] == [value]
+    out = secrets.redact(text, hits)
+    assert len(out) == len(text) and len(out.encode()) == len(text.encode())
+    left = out[hits[0][0] :][: len(value)]
+    assert sum(a == b for a, b in zip(left, value)) <= 2 and len(set(left)) <= 7 and secrets.mask(left) == left and secrets.find(out) == []
+    ast.parse(out)
+
+
+def test_templates_are_none_and_checks_are_told():
+    for v in ("YOUR_API_KEY_HERE", "changed-at-deploy", "<insert token>", "{{ password }}", "$(vault read app/token)", "env:APP_TOKEN", "changeme123", "os.environ['X']", "config.db.password", "xxxxxxxxxxxx", "********", "example-token"):
+        assert secrets.find(f'password = "{v}"') == [], v
+    body = "A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5"
+    n, tail = zlib.crc32(body.encode()), ""
+    while n:
+        n, r = divmod(n, 62)
+        tail = secrets._BASE62[r] + tail
+    web = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256"}', b'{"sub":"1234567890"}', bytes(range(32))))
+    key = base64.b64encode(b"\x30\x82\x01\x00" + bytes(range(256))).decode()
+    assert secrets.proof("ghp_" + body + tail.rjust(6, "0"), "github") == "checksum" and secrets.proof("ghp_" + body + "zzzzzz", "github") == "format"
+    assert secrets.proof(web, "web_token") == "structure" and secrets.proof("eyJaaaaaaaaaaaa.eyJbbbbbbbbbbbb.cccccccccccc", "web_token") == "format"
+    assert secrets.proof(f"-----BEGIN PRIVATE KEY-----\n{key}\n-----END PRIVATE KEY-----", "private_key") == "structure" and secrets.proof(f"-----BEGIN PRIVATE KEY-----\n{key[4:]}\n-----END PRIVATE KEY-----", "private_key") == "format"
+
+
 def test_redaction_keeps_the_rest(spark):
     key = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join("MIIB" + "aZ9+" * 14 for _ in range(4)) + "\n-----END RSA PRIVATE KEY-----"
     text = f'a = 1\r\nP = """{key}"""\npassword = "Hunter!2pass"\n# ende é\n'
