@@ -55,7 +55,7 @@ _ACCOUNT = re.compile(r"(?:^|[\s(])(?:root|admin(?:istrator)?|sa|svc[_\-]\w+|\w*
 #: Values that stand for another: references, interpolations and stretches of one filler, each as a whole.
 _REFERENCE = re.compile(
     r"(?:<.*>|\{\{.*\}\}|\{\w*\}|.*(?:\$\{|\{\{|\$\(|#\{).*|\$[A-Za-z_]\w*|%\(\w+\)s|%\w|%\w+%|(?:env|vault|ssm|secrets?|secretsmanager|file|keyring)[:(/].*|ref\+.*|op://.*|arn:.*"
-    r"|(?:process|os|sys|self|this|config|settings|env|environ)(?:\.\w+)+(?:\(.*\)|\[.*\])?|\S*\s.*|\W*|[xX]{3,}|(.)\1*)",
+    r"|(?:process|os|sys|self|this|config|settings|env|environ)(?:\.\w+)+(?:\(.*\)|\[.*\])?|\S*\s.*|[xX]{3,}|(.)\1*)",
     re.S,
 )
 #: Words a template is made of; a value of nothing but these stands for no credential.
@@ -77,7 +77,7 @@ def entropy(s: str) -> float:
 def _template(value: str) -> bool:
     words = [w.lower() for w in _WORD.findall(value)]
     count = [w for w in words if w.isdigit()]
-    if any(w not in _TEMPLATE for w in words if not w.isdigit()):
+    if not words or any(w not in _TEMPLATE for w in words if not w.isdigit()):
         return False
     return not count or bool(_FILLER & set(words)) and all(w in "01234567890" for w in count)
 
