@@ -213,3 +213,61 @@ def test_an_outgrown_chart_gives_a_lower_bound(monkeypatch):
         syntax.repair.cache_clear()
         assert all(1 <= syntax.repair(*c)[0] <= n for c, n in zip(cases, whole))
     syntax.repair.cache_clear()
+
+
+@pytest.mark.parametrize("lang", ["javascript", "typescript", "cpp", "go"])
+def test_the_chart_alone_acquits_valid_code(lang, monkeypatch):
+    p = syntax.Parser(lang)
+    monkeypatch.setattr(p, "_matches", lambda key: False)
+    monkeypatch.setattr(syntax, "parser", lambda _: p)
+    assert p.read(VALID[lang]) and syntax.examine(VALID[lang], lang) == (0, None)
+
+
+def test_kinds_follow_from_the_edits():
+    body = "class A {\n  int f() {\n    g(1);\n    return 2;\n  }\n  int h(int x) {\n    return x;\n  }\n}\n"
+    assert syntax.examine(body, "java") == (0, None)
+    assert syntax.examine(body[: body.index("  }\n  int h")], "java") == (2, "truncation")
+    assert syntax.examine(body.replace("g(1);", "g(1;"), "java") == (1, "local")
+    assert syntax.examine(body.replace("g(1);", "g(1));"), "java") == (1, "local")
+    assert syntax.examine(body.replace("    g(1);\n", "<<<<<<< HEAD\n    g(1);\n=======\n    g(2);\n>>>>>>> b\n"), "java") == (3, "conflict")
+    assert syntax.examine("def f(a):\n    if a:\n    return 1\n", "python") == (1, "local")
+    assert syntax.examine("def f(a):\n    g(a,\n      1\n    return 1\n", "python")[1] == "local"
+    assert syntax.examine("def f(a):\n    return g(a,\n", "python")[1] == "truncation"
+    assert syntax.examine("def f(a):\n", "python") == (1, "truncation")
+    assert syntax.examine("x = 1\n  y = 2\nz = 3\n", "python") == (1, "local")
+    assert syntax.examine(VALID["rust"], "python")[1] == "mismatch"
+
+
+@pytest.mark.parametrize("text, want", [("(]", 1), ("{(}", 1), ("())", 1), ("([)]", 2), ("", 0), ("((", 2), ("(){}[]", 0), (")(", 2)])
+def test_brackets_pair_at_least_cost(text, want):
+    pairs = syntax._pair(text)
+    same = {"(": ")", "[": "]", "{": "}"}
+    assert sum(1 for i in range(len(text)) if i not in pairs) + sum(same[text[i]] != text[j] for i, j in pairs.items() if i < j) == want
+
+
+def test_a_hostile_text_is_a_row(spark, monkeypatch):
+    p = syntax.Parser("java")
+
+    def slow(key, timeout):
+        raise TimeoutError
+
+    monkeypatch.setattr(p, "match", slow)
+    monkeypatch.setattr(syntax, "parser", lambda _: p)
+    monkeypatch.setattr(syntax, "MAX_LENGTH", 2)
+    assert syntax.examine("class A { int x = 1; }", "java") == (None, "unread")
+    df = spark.createDataFrame([(1, 1, "p", "class A {", 1, "java", None, "")], FILES)
+    assert [tuple(r) for r in syntax.check(df).select("file_id", "kind").collect()] == [(1, "truncation")]
+
+
+def test_flagged_files_are_decided_by_a_chart(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/files.parquet").where("language is not null and content is not null").select("language", "content").collect()
+    charted = flagged = 0
+    for lang, text in rows:
+        cost, kind = syntax.examine(text, lang)
+        if cost:
+            p = syntax.parser(lang)
+            places = p.read(text, fold=False)
+            by_chart = sum(min(sum(syntax.repair(lang, g, s)[0] for g, s, _ in way) for way in ways) for ways in places)
+            assert cost >= by_chart + p.closed + p.mended
+            flagged, charted = flagged + 1, charted + (by_chart > 0)
+    assert flagged and charted >= 0.6 * flagged
