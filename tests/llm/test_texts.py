@@ -206,13 +206,13 @@ def test_a_text_of_many_subjects_keeps_its_greatest(spark):
 
 def test_an_outgrown_chart_gives_a_lower_bound(monkeypatch):
     cases = [("java", "stmt", "i=ii;"), ("python", "simple", "i=i="), ("java", "stmt", "i=(i;")]
-    syntax.repair.cache_clear()
+    syntax._charted.cache_clear()
     whole = [syntax.repair(*c)[0] for c in cases]
     for items in (1, 5, 20, 80):
         monkeypatch.setattr(syntax, "MAX_ITEMS", items)
-        syntax.repair.cache_clear()
+        syntax._charted.cache_clear()
         assert all(1 <= syntax.repair(*c)[0] <= n for c, n in zip(cases, whole))
-    syntax.repair.cache_clear()
+    syntax._charted.cache_clear()
 
 
 @pytest.mark.parametrize("lang", ["javascript", "typescript", "cpp", "go"])
