@@ -29,8 +29,9 @@ def coupling(commit_files: DataFrame, min_shared: int = 3, max_files: int = 50)
     """(repo_id, file_a, file_b, shared, strength): strength = shared / greatest commits of either; commits of more than
     max_files files count neither above nor below the line."""
     c = changes(commit_files).select("repo_id", "commit", "path")
-    small = c.groupBy("repo_id", "commit").agg(F.collect_list("path").alias("paths")).where(F.size("paths") <= max_files)
-    # a basket is bounded by max_files, so its pairs are made in place
+    fits = c.groupBy("repo_id", "commit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_files).select("repo_id", "commit")
+    # counted first, so that no larger commit is gathered; a basket is bounded by max_files and its pairs are made in place
+    small = c.join(fits, ["repo_id", "commit"], "left_semi").groupBy("repo_id", "commit").agg(F.collect_list("path").alias("paths"))
     sorted_ = small.select("repo_id", F.array_sort("paths").alias("p"))
     per = sorted_.select("repo_id", F.explode("p").alias("f")).groupBy("repo_id", "f").agg(F.count(F.lit(1)).alias("n"))
     pairs = sorted_.select("repo_id", F.posexplode("p").alias("i", "file_a"), "p").select("repo_id", "file_a", F.explode(F.expr("slice(p, i + 2, size(p))")).alias("file_b"))

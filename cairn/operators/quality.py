@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from cairn.functions.text import module_of
 from cairn.graph import PropertyGraph
-from cairn.operators.traverse import bfs
-from cairn.plans.runtime import cut, is_empty
+from cairn.operators import local
+from cairn.plans.runtime import counted_cut, cut, is_empty, laid_out, release
 from cairn.schema import CALLABLE, COMMUNITY_EDGES, COMMUNITY_LABELS
 
 
@@ -89,91 +89,120 @@ def diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component): weakly connected components by least id, with the pointer jumps of min-label propagation."""
-    links = cut(edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).unionByName(edges.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"))).where("a <> b").distinct())
+    ends = cut(edges.select("source_id", "target_id").where("source_id <> target_id"))
+    if dict(nodes.dtypes)["id"] == "string" and local.fits(ends):
+        lone = nodes.select(F.col("id").alias("source_id"), F.lit(None).cast("string").alias("target_id"))
+        return local.one_task(ends.unionByName(lone), local.components, "id string, component string")
+    pairs = ends.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    links = laid_out(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "b")
     lab = cut(nodes.select("id", F.col("id").alias("component")))
     while True:
-        best = links.join(lab, links.b == lab.id).groupBy("a").agg(F.min("component").alias("m"))
-        step = lab.join(best, lab.id == best.a, "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
-        up = step.select(F.col("id").alias("pid"), F.col("component").alias("root"))
-        nxt = cut(step.join(up, step.component == up.pid, "left").select("id", F.least("component", F.coalesce("root", "component")).alias("component")))
-        if is_empty(nxt.join(lab.withColumnRenamed("component", "was"), "id").where("component <> was")):
-            return nxt
+        best = links.join(lab.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
+        step = lab.join(best, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("m", "component")).alias("component"))
+        up = lab.select(F.col("id").alias("component"), F.col("component").alias("root"))  # where the new label points by now
+        jump = step.join(up, "component", "left").select("id", "was", F.least("component", F.coalesce("root", "component")).alias("component"))
+        nxt, moved = counted_cut(jump, moved=F.col("component") < F.col("was"))
+        release(lab)
         lab = nxt
+        if not moved["moved"]:
+            links.unpersist()
+            return lab.select("id", "component")
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component): nodes on a directed cycle with the least id of their strongly connected component.
 
-    Trimming drops nodes without an edge in or out; colouring then spreads the least id forward until it settles, and
-    walks back inside each colour from its root; what is reached is one component. Loops make a component of one.
+    Each round spreads two colours inside the present classes until they settle, the least rank of all that reach a node
+    and the least of all it reaches. Where both agree they are the rank of one node of the class, which reaches and is
+    reached by every node of those colours: a component in full. An edge between different pairs of colours lies on no
+    cycle and goes; what is left are smaller classes for the next round, until no edge is. Ranks are hashes that change
+    with the round, so no order of ids makes the rounds many. Loops make a component of one.
     """
     loops = edges.where("source_id = target_id").select(F.col("source_id").alias("id")).distinct()
-    left = cut(edges.where("source_id <> target_id and source_id is not null and target_id is not null").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct())
-    found = None
-    for _ in range(max_rounds):
-        while True:  # trim
-            kept = cut(left.join(left.select(F.col("b").alias("x")).distinct(), left.a == F.col("x"), "left_semi").join(left.select(F.col("a").alias("y")).distinct(), left.b == F.col("y"), "left_semi"))
-            same = kept.count() == left.count()
-            left = kept
-            if same:
-                break
-        if is_empty(left):
-            break
-        lab = cut(left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct().withColumn("c", F.col("id")))
+    left, some = counted_cut(edges.where("source_id <> target_id and source_id is not null and target_id is not null").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct(), rows=F.lit(1))
+    lone = loops.withColumn("component", F.col("id"))
+    if some["rows"] and local.fits(left):
+        few = cut(local.one_task(left, local.strong_components, "id string, component string"))
+        return few.unionByName(lone.join(few.select("id"), "id", "left_anti"))
+    found, turn = None, 0
+    while some["rows"]:
+        along = laid_out(left, "a")
+        against = laid_out(left, "b")
+        ids = left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct()
+        rank = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("n"))
+        lab = cut(ids.select("id", rank.alias("f"), rank.alias("g")))
         while True:
-            best = left.join(lab, left.a == lab.id).groupBy("b").agg(F.min("c").alias("m"))
-            nxt = cut(lab.join(best, lab.id == best.b, "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c")))
-            moved = not is_empty(nxt.join(lab.withColumnRenamed("c", "was"), "id").where("c <> was"))
-            lab = nxt
-            if not moved:
+            ahead = along.join(lab.select(F.col("id").alias("a"), "f"), "a").groupBy(F.col("b").alias("id")).agg(F.min("f").alias("nf"))
+            back = against.join(lab.select(F.col("id").alias("b"), "g"), "b").groupBy(F.col("a").alias("id")).agg(F.min("g").alias("ng"))
+            step = lab.join(ahead, "id", "left").join(back, "id", "left").select("id", F.least("f", F.coalesce("nf", "f")).alias("f"), F.least("g", F.coalesce("ng", "g")).alias("g"), ((F.coalesce("nf", "f") < F.col("f")) | (F.coalesce("ng", "g") < F.col("g"))).alias("moved"))
+            nxt, moved = counted_cut(step, moved=F.col("moved"))
+            release(lab)
+            lab = nxt.select("id", "f", "g")
+            lab._cairn_cut = nxt._cairn_cut
+            if not moved["moved"]:
                 break
-        x, y = lab.select(F.col("id").alias("a"), F.col("c").alias("ca")), lab.select(F.col("id").alias("b"), F.col("c").alias("cb"))
-        inside = left.join(x, "a").join(y, "b").where("ca = cb")
-        back = bfs(inside.select(F.col("b").alias("source_id"), F.col("a").alias("target_id")), lab.where("id = c").select("id"), 1_000_000)
-        comp = cut(lab.join(back.select("id"), "id", "left_semi").withColumnRenamed("c", "component"))
-        sized = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
-        real = comp.join(sized, "component", "left_semi").select("id", "component")
+        whole = lab.where("f = g").select("id", "f")
+        real = whole.join(whole.groupBy("f").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1"), "f").select("id", "component")
         found = real if found is None else found.unionByName(real)
-        done = comp.select("id")
-        left = cut(left.join(done, left.a == done.id, "left_anti").join(done, left.b == done.id, "left_anti"))
-    lone = loops.withColumn("component", F.col("id"))
+        x, y = lab.select(F.col("id").alias("a"), F.col("f").alias("fa"), F.col("g").alias("ga")), lab.select(F.col("id").alias("b"), F.col("f").alias("fb"), F.col("g").alias("gb"))
+        rest = along.join(x, "a").join(y, "b").where("fa = fb and ga = gb and fa <> ga").select("a", "b")
+        nxt, some = counted_cut(rest, rows=F.lit(1))
+        along.unpersist(), against.unpersist()
+        release(left)
+        left, turn = nxt, turn + 1
     if found is None:
         return lone
     return found.unionByName(lone.join(found.select("id"), "id", "left_anti"))
 
 
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """(component, id, length, severity): one row a node on a cycle; up to 3 nodes low, up to 6 medium, else high."""
+    c = strong_components(edges)
+    size = c.groupBy("component").agg(F.count(F.lit(1)).alias("length"))
+    return c.join(size, "component").select("component", "id", "length", F.when(F.col("length") <= 3, "low").when(F.col("length") <= 6, "medium").otherwise("high").alias("severity"))
+
+
 def cycles(edges: DataFrame) -> DataFrame:
-    """(component, length, severity, members): one row a cycle group, members sorted; up to 3 low, up to 6 medium, else high."""
-    c = strong_components(edges).groupBy("component").agg(F.count(F.lit(1)).alias("length"), F.array_sort(F.collect_list("id")).alias("members"))
-    return c.select("component", "length", F.when(F.col("length") <= 3, "low").when(F.col("length") <= 6, "medium").otherwise("high").alias("severity"), "members")
+    """(component, length, severity, members): one row a cycle group, members sorted, for reports; cycle_members() has the
+    same by node, for components that no row could hold."""
+    return cycle_members(edges).groupBy("component", "length", "severity").agg(F.array_sort(F.collect_list("id")).alias("members"))
 
 
 def communities(graph: PropertyGraph, rounds: int = 10, resolution: float = 1.0) -> DataFrame:
     """(id, community): synchronous local moves of one Louvain level over eligible nodes; singletons are left out.
 
     A node moves to the neighbouring community of the greatest gain in modularity if that beats its own, ties to the
-    least; odd rounds let only even hashes move, even rounds odd ones, which keeps pairs from swapping for ever.
+    least; odd rounds let only even hashes move, even rounds odd ones, which keeps pairs from swapping for ever. Ends
+    when nothing moves in two rounds, or after ``rounds``, the feature's own limit.
     """
     ok = graph.nodes.where(F.col("label").isin(*COMMUNITY_LABELS)).select("id")
     e = graph.typed(*COMMUNITY_EDGES).select("source_id", "target_id").where("source_id <> target_id")
     e = e.select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
     e = e.join(ok, e.a == ok.id, "left_semi").join(ok, e.b == ok.id, "left_semi")
-    links = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    deg = cut(links.groupBy("a").agg(F.count(F.lit(1)).cast("double").alias("k")))
+    ends = cut(e)
+    both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    if local.fits(ends):
+        return local.one_task(both, local.communities(rounds, resolution), "id string, community string")
+    links = laid_out(both, "b")
     m2 = links.count()
-    lab = deg.select(F.col("a").alias("id"), "k", F.col("a").alias("c"))
-    if not m2:
-        return lab.select("id", F.col("c").alias("community"))
-    for r in range(rounds):
+    lab = cut(links.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("k")).withColumn("c", F.col("id")))
+    still = 0
+    for r in range(rounds if m2 else 0):
         tot = lab.groupBy("c").agg(F.sum("k").alias("t"))
-        near = links.join(lab.select(F.col("id").alias("b"), "c"), "b").groupBy("a", "c").agg(F.count(F.lit(1)).cast("double").alias("w"))
-        own = lab.select(F.col("id").alias("a"), "k", F.col("c").alias("old"))
-        opts = near.join(own, "a").join(tot, "c").withColumn("gain", F.col("w") - resolution * F.col("k") * (F.col("t") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)) / m2)
-        best = opts.groupBy("a").agg(F.max(F.struct("gain", F.when(F.col("c") == F.col("old"), 1).otherwise(0).alias("stay"))).alias("top"), F.max(F.when(F.col("c") == F.col("old"), F.col("gain"))).alias("now"))
-        pick = opts.join(best, "a").where("gain = top.gain").groupBy("a").agg(F.min("c").alias("to"), F.first("top.gain").alias("gain"), F.first("now").alias("now"))
-        alone = lab.join(pick, lab.id == pick.a, "left")
-        move = (F.col("to").isNotNull()) & (F.col("gain") > F.coalesce("now", F.lit(0.0)) + 1e-12) & (F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2)
-        lab = cut(alone.select("id", "k", F.when(move, F.col("to")).otherwise(F.col("c")).alias("c")))
+        near = links.join(lab.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id"), "c").agg(F.count(F.lit(1)).cast("double").alias("w"))
+        mine = F.col("c") == F.col("old")
+        opts = near.join(lab.select("id", "k", F.col("c").alias("old")), "id").join(tot, "c").withColumn("gain", F.col("w") - resolution * F.col("k") * (F.col("t") - F.when(mine, F.col("k")).otherwise(0.0)) / m2)
+        pick = opts.groupBy("id").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "c")).alias("top"), F.max(F.when(mine, F.col("gain"))).alias("now"))
+        move = F.col("top").isNotNull() & (-F.col("top.loss") > F.coalesce("now", F.lit(0.0)) + 1e-12) & (F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2)
+        step = lab.join(pick, "id", "left").select("id", "k", F.when(move, F.col("top.c")).otherwise(F.col("c")).alias("c"), F.coalesce(move, F.lit(False)).alias("moved"))
+        nxt, moved = counted_cut(step, moved=F.col("moved"))
+        release(lab)
+        lab = nxt.select("id", "k", "c")
+        lab._cairn_cut = nxt._cairn_cut
+        still = 0 if moved["moved"] else still + 1
+        if still == 2:
+            break
+    links.unpersist()
     big = lab.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c")
     return lab.join(big, "c", "left_semi").select("id", F.col("c").alias("community"))
 
@@ -201,37 +230,69 @@ def cohesion(edges: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = 24, damping: float = 0.85) -> DataFrame:
-    """(id, rank) by weighted edges (source_id, target_id[, weight]); the mass of dead ends is spread evenly. Ranks sum to 1."""
+    """(id, rank) by weighted edges (source_id, target_id[, weight]); the mass of dead ends is spread evenly. Ranks sum to 1.
+
+    The rank after t rounds is a sum of the vectors v_k = (damping * P)^k 1 with one factor each, and the factors follow
+    from the sums of the v_k alone: what the dead ends hold of v_k is sum(v_k) - sum(v_k+1) / damping. So a round is one
+    join with the links, which stay in place, and one sum, with no global step; three rounds make a job, and the vectors
+    are added up once at the end.
+    """
     e = edges.select("source_id", "target_id", F.col("weight").cast("double").alias("w") if "weight" in edges.columns else F.lit(1.0).alias("w")).groupBy("source_id", "target_id").agg(F.sum("w").alias("w"))
-    out = e.groupBy("source_id").agg(F.sum("w").alias("total"))
-    links = cut(e.join(out, "source_id").select("source_id", "target_id", (F.col("w") / F.col("total")).alias("p")))
-    n = nodes.count()
+    ids = nodes.select("id").where("id is not null").distinct()
+    e = cut(e.where("source_id is not null and target_id is not null"))
+    if local.fits(e):
+        rows = e.unionByName(cut(ids.select(F.col("id").alias("source_id"), F.lit(None).cast("string").alias("target_id"), F.lit(0.0).alias("w"))))
+        return local.one_task(rows, local.pagerank(iterations, damping), "id string, rank double")
+    n = ids.count()
     if not n:
-        return nodes.select("id", F.lit(0.0).alias("rank"))
-    ids = cut(nodes.select("id").distinct().join(out.select(F.col("source_id").alias("id"), F.lit(True).alias("sends")), "id", "left"))
-    rank = ids.select("id", F.coalesce("sends", F.lit(False)).alias("sends"), F.lit(1.0 / n).alias("rank"))
+        return ids.select("id", F.lit(0.0).alias("rank"))
+    out = e.groupBy("source_id").agg(F.sum("w").alias("total"))
+    links = laid_out(cut(e.join(out, "source_id").join(ids.select(F.col("id").alias("target_id")), "target_id", "left_semi").select("source_id", "target_id", (damping * F.col("w") / F.col("total")).alias("p"))), "source_id")
+    vectors = [ids.select(F.lit(0).alias("k"), "id", F.lit(1.0).alias("v"))]
+    last = vectors[0].select("id", "v")
+    for first in range(1, iterations + 2, 3):
+        some, rounds = last, []
+        for k in range(first, min(first + 3, iterations + 2)):
+            some = links.join(some.select(F.col("id").alias("source_id"), "v"), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("p") * F.col("v")).alias("v"))
+            rounds.append(some.select(F.lit(k).alias("k"), "id", "v"))
+        job = rounds[0]
+        for x in rounds[1:]:
+            job = job.unionByName(x)
+        vectors.append(cut(job))
+        last = vectors[-1].where(F.col("k") == first + len(rounds) - 1).select("id", "v")
+    links.unpersist()
+    whole = vectors[0]
+    for x in vectors[1:]:
+        whole = whole.unionByName(x)
+    sums = {r["k"]: r["s"] for r in whole.groupBy("k").agg(F.sum("v").alias("s")).collect()}  # one row a round
+    held = [sums.get(k, 0.0) - sums.get(k + 1, 0.0) / damping for k in range(iterations + 1)]  # of v_k, by the dead ends
+    factors = [1.0 / n]  # of v_0, v_1, ... in the rank so far
     for _ in range(iterations):
-        lost = rank.agg(F.sum(F.when(~F.col("sends"), F.col("rank")).otherwise(0.0)).alias("lost"))
-        got = links.join(rank, links.source_id == rank.id).groupBy("target_id").agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
-        nxt = rank.select("id", "sends").join(got, F.col("id") == F.col("target_id"), "left").crossJoin(F.broadcast(lost))  # one row
-        rank = nxt.select("id", "sends", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        rank = cut(rank)  # each round reads the ranks twice: without a cut the work would double with every round
-    return rank.select("id", "rank")
+        lost = sum(f * h for f, h in zip(factors, held))
+        factors = [(1 - damping) / n + damping * lost / n, *factors]
+    weigh = F.element_at(F.array(*[F.lit(f) for f in factors]), F.col("k") + 1)
+    rank = whole.where(F.col("k") <= iterations).groupBy("id").agg(F.sum(F.col("v") * weigh).alias("rank"))
+    return ids.join(rank, "id", "left").select("id", F.coalesce("rank", F.lit(0.0)).alias("rank"))
 
 
 def topo_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, level): a node's level is one more than the greatest of what points at it; null for nodes on or behind a cycle."""
-    e = cut(edges.select("source_id", "target_id").where("source_id is not null and target_id is not null").distinct())
+    """(id, level): a node's level is one more than the greatest of what points at it; null for nodes on or behind a cycle.
+
+    A level is one job; each passes on only the nodes that still wait, with the edges among them in place.
+    """
+    e = laid_out(edges.select("source_id", "target_id").where("source_id is not null and target_id is not null").distinct(), "source_id")
     rest = cut(nodes.select("id").distinct())
     out, level = None, 0
     while True:
-        held = e.join(rest, e.source_id == rest.id, "left_semi").select(F.col("target_id").alias("id")).distinct()
-        free = cut(rest.join(held, "id", "left_anti").withColumn("level", F.lit(level)))
-        if is_empty(free):
+        held = e.join(rest.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(F.col("target_id").alias("id")).distinct()
+        split, n = counted_cut(rest.join(held.withColumn("waits", F.lit(True)), "id", "left").select("id", F.coalesce("waits", F.lit(False)).alias("waits")), free=(~F.coalesce("waits", F.lit(False))))
+        if not n["free"]:
             break
+        free = split.where("not waits").select("id", F.lit(level).alias("level"))
         out = free if out is None else out.unionByName(free)
-        rest = cut(rest.join(free, "id", "left_anti"))
+        rest = split.where("waits").select("id")
         level += 1
+    e.unpersist()
     tail = rest.withColumn("level", F.lit(None).cast("int"))
     return tail if out is None else out.unionByName(tail)
 
@@ -265,19 +326,21 @@ def processes(graph: PropertyGraph, *, depth: int = 10, fan: int = 4, least: int
     return paths.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").orderBy(F.desc("length"), "entry", "terminal").limit(keep)
 
 
-def clones(members: DataFrame, *, min_tokens: int = 30, threshold: float = 0.9, width: int = 30, block: int = 64) -> DataFrame:
-    """(run_id, cluster, members, similarity): clusters of functions whose token sets agree at the threshold (Jaccard).
+def clone_members(members: DataFrame, *, min_tokens: int = 30, threshold: float = 0.9, width: int = 30, block: int = 64) -> DataFrame:
+    """(run_id, cluster, member_id, size, similarity, mean_similarity): clusters of functions whose token sets agree at the
+    threshold (Jaccard), one row a member, named by their least member.
 
     Members with equal token lists stand as one class. Every two classes of a run that share an exact shingle of ``width``
     tokens are candidates, but for those whose set sizes alone rule the threshold out; each candidate is verified once.
-    Verified links make the components, similarity is the least of them (1 within one class).
+    Verified links make the components; similarity is the least of them and mean_similarity their mean (1 within one class).
+    Recall is that of all pairs that share a shingle: the SQL of clone_clusters, which compares each, gives the same rows.
 
     A shingle's class list is split into blocks of about ``block`` classes by a hash; each pair of blocks is a product in a
     group of its own, so a hot list is compared in full but never gathered whole.
     """
     own = members.where((F.size("tokens") >= min_tokens) & F.col("run_id").isNotNull()).select("run_id", "member_id", "tokens")
-    keyed = own.withColumn("cls", F.concat_ws(":", F.col("run_id").cast("string"), F.sha2(F.concat_ws("\u0001", "tokens"), 256)))
-    classes = cut(keyed.groupBy("cls", "run_id").agg(F.first("tokens").alias("tokens"), F.array_sort(F.collect_list("member_id")).alias("ids")).withColumn("id", F.monotonically_increasing_id()))
+    cls = F.concat_ws(":", F.col("run_id").cast("string"), F.sha2(F.concat_ws("\u0001", "tokens"), 256))
+    classes = cut(own.withColumn("cls", cls).groupBy("cls", "run_id").agg(F.first("tokens").alias("tokens")).withColumn("id", F.monotonically_increasing_id()))
     shingles = classes.select("run_id", "id", F.size(F.array_distinct("tokens")).alias("size"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("tokens") - width), lambda i: F.xxhash64(F.concat_ws("\u0001", F.slice(F.col("tokens"), i + 1, width)))))).alias("h"))
     held = shingles.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("run_id", "h"))).where("held > 1")
     k = F.ceil(F.col("held") / block).cast("int")
@@ -292,9 +355,17 @@ def clones(members: DataFrame, *, min_tokens: int = 30, threshold: float = 0.9,
     sim = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
     good = cut(both.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), sim.alias("sim")).where(F.col("sim") >= threshold))
     comp = components(good, classes.select("id"))
-    least = good.join(comp, good.source_id == comp.id).groupBy("component").agg(F.min("sim").alias("similarity"))
-    grouped = classes.join(comp, "id").groupBy("run_id", "component").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("members"))
-    return grouped.where(F.size("members") > 1).join(least, "component", "left").select("run_id", F.element_at("members", 1).alias("cluster"), "members", F.round(F.coalesce("similarity", F.lit(1.0)), 6).alias("similarity"))
+    links_of = good.join(comp, good.source_id == comp.id).groupBy("component").agg(F.min("sim").alias("similarity"), F.avg("sim").alias("mean_similarity"))
+    placed = own.withColumn("cls", cls).join(classes.select("cls", "id").join(comp, "id"), "cls").select("run_id", "component", "member_id").distinct()
+    sized = placed.groupBy("component").agg(F.min("member_id").alias("cluster"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    one = lambda c: F.round(F.coalesce(c, F.lit(1.0)), 6).alias(c)
+    return placed.join(sized, "component").join(links_of, "component", "left").select("run_id", "cluster", "member_id", "size", one("similarity"), one("mean_similarity"))
+
+
+def clones(members: DataFrame, **options) -> DataFrame:
+    """(run_id, cluster, members, similarity): clone_members() with a cluster in a row, for reports."""
+    rows = clone_members(members, **options)
+    return rows.groupBy("run_id", "cluster", "similarity").agg(F.array_sort(F.collect_list("member_id")).alias("members")).select("run_id", "cluster", "members", "similarity")
 
 
 def file_cycles(graph: PropertyGraph, longest: int = 6) -> DataFrame:

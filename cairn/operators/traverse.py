@@ -6,42 +6,82 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.graph import PropertyGraph
-from cairn.plans.runtime import cut, is_empty
+from cairn.operators import local
+from cairn.plans.runtime import counted_cut, cut, is_empty, laid_out
 from cairn.schema import IMPACT_SKIPPED
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """(id, depth) reached from ``seeds`` (id) over (source_id, target_id), least depths, seeds at 0.
+def reach(links: DataFrame, seeds: DataFrame, max_depth: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, id, depth) reached from ``seeds`` (keys, id) over ``links`` (keys, source_id, target_id), least depths,
+    seeds at 0; searches of different keys do not meet, so one loop serves them all.
 
-    Each round joins the frontier with the edges and leaves out what was seen; both sides are hashed by node, a hub's
-    edges are split by AQE. Null ids are left out.
+    Each round is one job: it joins the frontier with the links, which stay hashed by their source, leaves out what was
+    seen, writes the next frontier and tells whether it is empty. A hub's links are split by AQE. Null ids are left out.
     """
-    links = edges.select("source_id", "target_id").where("source_id is not null and target_id is not null").distinct()
-    seen = cut(seeds.select("id").where("id is not null").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
+    laid = laid_out(links.where("source_id is not null and target_id is not null").select(*keys, "source_id", "target_id").distinct(), *keys, "source_id")
+    frontier = cut(seeds.select(*keys, "id").where("id is not null").distinct().withColumn("depth", F.lit(0)))
+    seen = frontier
     for depth in range(1, max_depth + 1):
-        step = frontier.join(links, frontier.id == links.source_id).select(F.col("target_id").alias("id")).distinct()
-        frontier = cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if is_empty(frontier):
+        here = frontier.select(*keys, F.col("id").alias("source_id"))
+        step = laid.join(here, [*keys, "source_id"]).select(*keys, F.col("target_id").alias("id")).distinct()
+        frontier, n = counted_cut(step.join(seen.select(*keys, "id"), [*keys, "id"], "left_anti").withColumn("depth", F.lit(depth)), rows=F.lit(1))
+        if not n["rows"]:
             break
         seen = seen.unionByName(frontier)
-        if depth % 4 == 0:
+        if depth % 8 == 0:
             seen = cut(seen)
+    laid.unpersist()
     return seen
 
 
+def _small_reach(edges: DataFrame, seeds: DataFrame, max_depth: int, *ways: str) -> DataFrame | None:
+    """reach() in one task where the links are few enough, else None."""
+    links = cut(edges.select("source_id", "target_id"))
+    if not local.fits(links):
+        return None
+    rows = links.unionByName(cut(seeds.select(F.col("id").alias("source_id"), F.lit(None).cast("string").alias("target_id"))))
+    return local.one_task(rows, local.reached(max_depth, ways), "direction string, id string, depth int")
+
+
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
+    """(id, depth) reached from ``seeds`` (id) over (source_id, target_id), least depths, seeds at 0."""
+    small = _small_reach(edges, seeds, max_depth, "downstream")
+    return reach(edges, seeds, max_depth) if small is None else small.select("id", "depth")
+
+
+def both_directions(edges: DataFrame) -> DataFrame:
+    """(direction, source_id, target_id): downstream along the edges, upstream against them."""
+    e = edges.select("source_id", "target_id")
+    return e.select(F.lit("downstream").alias("direction"), "source_id", "target_id").unionByName(e.select(F.lit("upstream").alias("direction"), F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
+
+
 def impact(graph: PropertyGraph, target: str, max_depth: int = 5, *, skip: tuple[str, ...] = IMPACT_SKIPPED, only: tuple[str, ...] = ()) -> DataFrame:
     """(direction, id, depth): what a node's change reaches against and along the edges; class members are seeds too."""
     edges = graph.edges.where(F.col("type").isin(*only)) if only else graph.edges.where(~F.col("type").isin(*skip))
     owner = graph.edges.where(F.col("type").isin("HAS_METHOD", "HAS_ACTION") & (F.col("source_id") == target)).select(F.col("target_id").alias("id"))
-    seeds = cut(graph.nodes.where(F.col("id") == target).select("id").unionByName(owner))
+    seeds = graph.nodes.where(F.col("id") == target).select("id").unionByName(owner)
+    small = _small_reach(edges, seeds, max_depth, "downstream", "upstream")
+    ways = seeds.withColumn("direction", F.explode(F.array(F.lit("downstream"), F.lit("upstream"))))
     keep = graph.nodes.where((F.col("label") != "Community") & ~F.coalesce(F.col("file_path"), F.lit("")).contains("/obj/")).select("id")
-    edges = cut(edges.select("source_id", "target_id").distinct())
-    out = None
-    for way, e in (("downstream", edges), ("upstream", edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))):
-        got = bfs(e, seeds, max_depth).where("depth > 0").join(keep, "id", "left_semi").select(F.lit(way).alias("direction"), "id", "depth")
-        out = got if out is None else out.unionByName(got)
-    return out
+    got = reach(both_directions(edges), ways, max_depth, ("direction",)) if small is None else small
+    return got.where("depth > 0").join(keep, "id", "left_semi").select("direction", "id", "depth")
+
+
+def impact_paths(graph: PropertyGraph, target: str, max_depth: int = 5, *, skip: tuple[str, ...] = IMPACT_SKIPPED) -> DataFrame:
+    """(direction, id, depth, path array<string>): impact with one least path to each reached node, of equal ones that
+    least in order. The frontier keeps one path a node and direction, so its size is that of the nodes reached."""
+    links = laid_out(both_directions(graph.edges.where(~F.col("type").isin(*skip))).where("source_id is not null and target_id is not null").distinct(), "direction", "source_id")
+    start = graph.nodes.where(F.col("id") == target).select(F.explode(F.array(F.lit("downstream"), F.lit("upstream"))).alias("direction"), "id", F.array("id").alias("path"))
+    frontier = seen = cut(start)
+    for _ in range(max_depth):
+        here = frontier.select("direction", F.col("id").alias("source_id"), "path")
+        step = links.join(here, ["direction", "source_id"]).select("direction", F.col("target_id").alias("id"), F.concat("path", F.array("target_id")).alias("path"))
+        frontier, n = counted_cut(step.groupBy("direction", "id").agg(F.min("path").alias("path")).join(seen.select("direction", "id"), ["direction", "id"], "left_anti"), rows=F.lit(1))
+        if not n["rows"]:
+            break
+        seen = seen.unionByName(frontier)
+    links.unpersist()
+    return seen.select("direction", "id", (F.size("path") - 1).alias("depth"), "path").where("depth > 0")
 
 
 def affected_files(graph: PropertyGraph, reached: DataFrame) -> DataFrame:
@@ -72,7 +112,9 @@ def shortest_path(graph: PropertyGraph, a: str, b: str, *, types: tuple[str, ...
 
 def neighbourhood(graph: PropertyGraph, center: str, depth: int = 2, limit: int = 500) -> PropertyGraph:
     """Nodes within ``depth`` in either direction, the nearest ``limit`` of them (ties by id), with the edges among them."""
-    near = bfs(graph.both_ways(), graph.nodes.where(F.col("id") == center).select("id"), depth)
+    seeds = graph.nodes.where(F.col("id") == center).select("id")
+    small = _small_reach(graph.edges, seeds, depth, "either")
+    near = reach(graph.both_ways(), seeds, depth) if small is None else small.select("id", "depth")
     picked = cut(near.join(graph.nodes.select("id"), "id", "left_semi").orderBy("depth", "id").limit(limit))
     return induced(graph, picked)
 
@@ -111,5 +153,6 @@ def neighbours(graph: PropertyGraph, ids: DataFrame, types: tuple[str, ...], k:
 
 
 def context(graph: PropertyGraph, node: str) -> DataFrame:
-    """(direction, type, others): all neighbours of one node by direction and type, each list sorted."""
+    """(direction, type, others): the neighbours of one node by direction and type, each list sorted; of a hub the first
+    1,000 a direction by type and id, the feature's own limit."""
     return neighbours(graph, graph.nodes.where(F.col("id") == node), (), 1000).groupBy("direction", "type").agg(F.array_sort(F.collect_set("other")).alias("others"))
