@@ -112,14 +112,14 @@ QUERIES = {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit
 _CLEAN = r"list_aggregate(list_filter(string_split(replace(file, '\', '/'), '/'), lambda p: p <> '' AND p <> '.'), 'string_agg', '/')"
 
 
-def _pairs(limit: str, having: str, columns: str) -> str:
+def _pairs(limit: str, least: int, having: str, columns: str) -> str:
     return f"""
 WITH r AS (SELECT DISTINCT repo_id, "commit" AS c, {_CLEAN} AS f FROM commit_files WHERE repo_id IS NOT NULL AND "commit" IS NOT NULL AND file IS NOT NULL),
 z AS (SELECT repo_id, c FROM r WHERE f IS NOT NULL GROUP BY 1, 2 {limit}),
 k AS (SELECT r.* FROM r JOIN z USING (repo_id, c) WHERE f IS NOT NULL),
 n AS (SELECT repo_id, count(DISTINCT c) AS n FROM k GROUP BY 1),
 i AS (SELECT repo_id, f, count(*) AS n FROM k GROUP BY 1, 2),
-s AS (SELECT a.repo_id, a.f AS file_a, b.f AS file_b, count(*) AS s FROM k a JOIN k b ON a.repo_id = b.repo_id AND a.c = b.c AND a.f < b.f GROUP BY 1, 2, 3 HAVING count(*) >= 5)
+s AS (SELECT a.repo_id, a.f AS file_a, b.f AS file_b, count(*) AS s FROM k a JOIN k b ON a.repo_id = b.repo_id AND a.c = b.c AND a.f < b.f GROUP BY 1, 2, 3 HAVING count(*) >= {least})
 SELECT {columns} FROM s JOIN n USING (repo_id) JOIN i x ON x.repo_id = s.repo_id AND x.f = file_a JOIN i y ON y.repo_id = s.repo_id AND y.f = file_b {having}"""
 
 
@@ -151,7 +151,7 @@ WITH d AS (SELECT DISTINCT run_id, repo_id, node_id, file_path, measured_at, com
 c AS (SELECT repo_id, complexity, measured_at::DATE AS d, {_MODULE} AS m FROM (SELECT *, list_filter(string_split(replace(file_path, '\\', '/'), '/'), lambda x: x <> '') AS p FROM d)),
 a AS ({_SUM.format(level="day", module="m", day="d")} UNION ALL {_SUM.format(level="module", module="m", day="NULL::DATE")} UNION ALL {_SUM.format(level="repo", module="NULL::VARCHAR", day="NULL::DATE")})
 SELECT level, repo_id, module, day::VARCHAR AS day, q, n, avg, true AS within FROM a, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) t(q)""",
-    "p3_found": _pairs("HAVING count(*) <= 50", "WHERE s.s * n.n >= 4 * x.n * y.n", "s.repo_id, file_a, file_b"),
-    "p3_pairs": _pairs("", "", "s.repo_id, file_a, file_b, n.n AS commits, x.n AS commits_a, y.n AS commits_b, s.s AS shared_commits, round(s.s * n.n / (x.n * y.n), 6) AS lift"),
+    "p3_found": _pairs("HAVING count(*) <= 50", 5, "WHERE s.s * n.n >= 4 * x.n * y.n", "s.repo_id, file_a, file_b"),
+    "p3_pairs": _pairs("", 1, "", "s.repo_id, file_a, file_b, n.n AS commits, x.n AS commits_a, y.n AS commits_b, s.s AS shared_commits, round(s.s * n.n / (x.n * y.n), 6) AS lift"),
     "p7_found": "SELECT file_id FROM files WHERE strlen(content) > (SELECT max_bytes FROM chunk_options WHERE option_name = 'content')",
 }
