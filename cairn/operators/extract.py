@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from cairn.graph import PropertyGraph
 
 _ROUTES = r"(?i)\b(?:app|router|server|api|r|e|mux)\.(get|post|put|delete|patch)\(\s*[\"'`]([^\"'`\n]+)[\"'`]|@(?:app|router|bp)\.(get|post|put|delete|patch|route)\(\s*[\"']([^\"'\n]+)[\"']|@(Get|Post|Put|Delete|Patch|Request)Mapping\(\s*(?:value\s*=\s*)?[\"']([^\"'\n]+)[\"']|Route::(get|post|put|delete|patch)\(\s*[\"']([^\"'\n]+)[\"']"
-_ENV_USE = r"process\.env\.([A-Z][A-Z0-9_]*)|process\.env\[\s*['\"]([^'\"]+)['\"]\s*\]|os\.getenv\(\s*['\"]([^'\"]+)['\"]|os\.environ\[\s*['\"]([^'\"]+)['\"]\s*\]|(?:Environment\.GetEnvironmentVariable|Configuration)\s*(?:\(\s*|\[\s*)['\"]([^'\"]+)['\"]|System\.getenv\(\s*['\"]([^'\"]+)['\"]|os\.Getenv\(\s*['\"]([^'\"]+)['\"]|env::var\(\s*['\"]([^'\"]+)['\"]|readEnv\(\s*['\"]([^'\"]+)['\"]"
+# How programs read the environment: a function called with the name, a map indexed by it, or an object that has it.
+_ENV_CALLS = ("getenv", "Getenv", "LookupEnv", "GetEnvironmentVariable", "readEnv", "env::var", "env::var_os", "environ.get", "ENV.fetch")
+_ENV_MAPS = ("environ", "process.env", "Configuration", "ENV", "_ENV")
+_ENV_OBJECTS = ("process.env", "import.meta.env")
+_any_of = lambda words: "(?:" + "|".join(w.replace(".", r"\.") for w in words) + ")"
+_ENV_USE = rf"\b{_any_of(_ENV_CALLS)}\(\s*[\"'`]([^\"'`\n]+)[\"'`]|(?<![\w]){_any_of(_ENV_MAPS)}\[\s*[\"'`]([^\"'`\n]+)[\"'`]\s*\]|\b{_any_of(_ENV_OBJECTS)}\.([A-Z][A-Z0-9_]*)\b"
+
 
 
 def todos(files: DataFrame) -> DataFrame:
@@ -32,7 +38,7 @@ def env_inventory(files: DataFrame) -> DataFrame:
     conf = files.where("content is not null and language is null and path rlike '\\\\.(env|properties)$|(^|/)\\\\.env$'")
     dec = conf.select("repo_id", F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*(?:export[ \t]+)?([A-Za-z][\w.\-]*)[ \t]*="), F.lit(1))).alias("name")).distinct().withColumn("declared", F.lit(True))
     use = files.where("content is not null and language is not null").select("repo_id", F.explode(F.regexp_extract_all("content", F.lit(_ENV_USE), F.lit(0))).alias("m"))
-    use = use.select("repo_id", F.coalesce(F.nullif(F.regexp_extract("m", r"['\"]([^'\"]+)['\"]", 1), F.lit("")), F.regexp_extract("m", r"(\w+)$", 1)).alias("name")).groupBy("repo_id", "name").agg(F.count(F.lit(1)).alias("uses"))
+    use = use.select("repo_id", F.coalesce(F.nullif(F.regexp_extract("m", r"[\"'`]([^\"'`]+)[\"'`]", 1), F.lit("")), F.regexp_extract("m", r"(\w+)$", 1)).alias("name")).groupBy("repo_id", "name").agg(F.count(F.lit(1)).alias("uses"))
     return dec.join(use, ["repo_id", "name"], "full_outer").select("repo_id", "name", F.coalesce("declared", F.lit(False)).alias("declared"), F.coalesce("uses", F.lit(0).cast("long")).alias("uses"))
 
 

@@ -154,7 +154,23 @@ def find_symbols(nodes: DataFrame, text: str, limit: int = 20) -> DataFrame:
     return nodes.where(low.contains(text.lower())).orderBy((low != text.lower()).cast("int"), F.length("name"), "id").limit(limit)
 
 
-def search_code(graph: PropertyGraph, text: str, limit: int = 10) -> DataFrame:
-    """Weighted text hits topped up by names, one row an id."""
-    hits = search.bm25_nodes(graph, text, limit=max(limit, 20)).select(F.col("nodeId").alias("id"), "score")
-    return search.with_name_fallback(hits, graph.nodes, text, limit)
+def search_code(graph: PropertyGraph, text: str, limit: int = 10, *, vectors: DataFrame | None = None, query: list[float] | None = None, score=None) -> DataFrame:
+    """(id, name, label, file_path, score, tier): the best hits, one a file, topped up by nodes whose name holds the text.
+
+    A pool of at least 20 text hits (or twice the limit with vectors) is fused with the nearest vectors (node_id, vector)
+    where a query vector is given, reordered by ``score`` (a Column over the hits) where one is given, and cut to the best
+    hit of each file; tier 0 are hits, tier 1 names. A node without a file is a file of its own.
+    """
+    pool = 2 * limit if vectors is not None else max(limit, 20)
+    hits = search.bm25_nodes(graph, text, limit=pool).select(F.col("nodeId").alias("id"), "score")
+    ranked = search.top(hits, pool)
+    if vectors is not None and query is not None:
+        ranked = search.hybrid(ranked, search.knn(vectors, query, pool), pool).select("id", "score", "rank")
+    if score is not None:
+        ranked = search.rerank(ranked.join(graph.nodes, "id"), score).select("id", "score", "rank")
+    own = graph.nodes.select("id", "name", "label", "file_path")
+    hit = ranked.join(own, "id").select("*", F.lit(0).alias("tier"))
+    named = own.where(F.lower("name").contains(text.lower())).join(ranked.select("id"), "id", "left_anti").select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"), "name", "label", "file_path", F.lit(1).alias("tier"))
+    one = Window.partitionBy(F.coalesce("file_path", "id")).orderBy("tier", "rank", "id")
+    both = hit.unionByName(named.select(*hit.columns)).withColumn("_n", F.row_number().over(one)).where("_n = 1")
+    return both.orderBy("tier", "rank", "id").limit(limit).select("id", "name", "label", "file_path", "score", "tier")

@@ -92,13 +92,11 @@ _add("impact_up_down", lambda s, d: traverse.impact(call_graph(s, d), "Function:
 _add("impact_affected_files", lambda s, d: (lambda g: traverse.affected_files(g, traverse.impact(g, "Function:1", 2).where("direction = 'downstream'")))(call_graph(s, d)), f"{_BFS.format(calls=CALLS, to='t', frm='s').replace('depth < 3', 'depth < 2')} SELECT 'src/n' || s_nationkey || '/f.py' AS file_path, count(*) AS symbols, min(depth) AS depth FROM r JOIN supplier ON id = 'Function:' || s_suppkey WHERE depth > 0 GROUP BY 1")
 _add("neighbourhood_2", lambda s, d: traverse.neighbourhood(from_star_schema(s, d), "Region:1", 2, 100_000).nodes.select("id"), f"WITH RECURSIVE {EDGES}, u AS (SELECT s, t FROM edges UNION SELECT t, s FROM edges), w(id, depth) AS (SELECT 'Region:1', 0 UNION SELECT t, depth + 1 FROM w JOIN u ON s = id WHERE depth < 2) SELECT DISTINCT id FROM w")
 _add("shortest_path_len", lambda s, d: traverse.shortest_path(from_star_schema(s, d), "Customer:1", "Supplier:1", directed=False, max_depth=4).select("depth"), f"WITH RECURSIVE {EDGES}, u AS (SELECT s, t FROM edges UNION SELECT t, s FROM edges), w(id, depth) AS (SELECT 'Customer:1', 0 UNION SELECT t, depth + 1 FROM w JOIN u ON s = id WHERE depth < 4) SELECT min(depth) AS depth FROM w WHERE id = 'Supplier:1' HAVING min(depth) IS NOT NULL")
-_add("scc_cycles", lambda s, d: quality.cycles(call_graph(s, d).edges).withColumn("members", F.array_join("members", ",")))
 _add("communities", lambda s, d: quality.communities(call_graph(s, d)))
 _add("cohesion", lambda s, d: (lambda g: quality.cohesion(g.edges, g.nodes.select("id", F.concat(F.lit("c"), F.col("key") % 5).alias("community"))).withColumn("cohesion", F.round("cohesion", 6)))(call_graph(s, d)), f"WITH {CALLS}, e AS (SELECT 'c' || split_part(s, ':', 2)::INT % 5 AS a, 'c' || split_part(t, ':', 2)::INT % 5 AS b FROM calls), x AS (SELECT a AS community, a = b AS inn FROM e UNION ALL SELECT b, a = b FROM e) SELECT community, round(avg(inn::INT), 6) AS cohesion FROM x GROUP BY 1")
-_add("module_pagerank", lambda s, d: (lambda g: quality.pagerank(g.edges, g.nodes).withColumn("rank", F.round("rank", 9)))(call_graph(s, d)))
 _add("process_paths", lambda s, d: quality.processes(call_graph(s, d), depth=5).withColumn("steps", F.array_join("steps", ">")))
 _add("topo_levels", lambda s, d: (lambda g: quality.topo_levels(g.edges.where("type in ('IN_REGION', 'IN_NATION')"), g.nodes.where("label in ('Region', 'Nation', 'Customer', 'Supplier')")))(from_star_schema(s, d)), f"WITH {NODES}, {EDGES}, n AS (SELECT DISTINCT t FROM edges WHERE type = 'IN_NATION') SELECT id, CASE WHEN label IN ('Customer', 'Supplier') THEN 0 WHEN label = 'Nation' THEN CASE WHEN id IN (SELECT t FROM n) THEN 1 ELSE 0 END ELSE coalesce((SELECT max(CASE WHEN e.s IN (SELECT t FROM n) THEN 2 ELSE 1 END) FROM edges e WHERE e.type = 'IN_REGION' AND e.t = id), 0) END AS level FROM nodes WHERE label IN ('Region', 'Nation', 'Customer', 'Supplier')")
-_add("dead_code", lambda s, d: quality.dead_code(call_graph(s, d)), f"WITH {CALLS} SELECT 'Function:' || s_suppkey AS id FROM supplier WHERE 'Function:' || s_suppkey NOT IN (SELECT t FROM calls WHERE s = 'Function:1' AND contains(t, '1'))")
+_add("dead_code", lambda s, d: quality.dead_code(call_graph(s, d)), f"WITH {CALLS} SELECT 'Function:' || s_suppkey AS id FROM supplier WHERE 'Function:' || s_suppkey NOT IN (SELECT t FROM calls)")
 _add("coverage_by_owner", lambda s, d: quality.coverage(call_graph(s, d).nodes, ["file_path"]), "SELECT 'src/n' || s_nationkey || '/f.py' AS file_path, count(*) AS total, sum((s_suppkey % 3 = 0)::INT)::BIGINT AS traced, round(sum((s_suppkey % 3 = 0)::INT) * 100.0 / count(*), 0) AS pct FROM supplier GROUP BY 1")
 
 # ---- retrieval
@@ -158,7 +156,6 @@ _SYM = "WITH s AS (SELECT repo_id, {m} AS module, CASE WHEN complexity > 0 THEN
 _MOD = "CASE WHEN len(p) = 0 THEN '(root)' WHEN len(p) > 1 AND NOT contains(p[2], '.') THEN p[1] || '/' || p[2] ELSE p[1] END"
 _add("complexity_percentiles", lambda s, d: quality.complexity_report(_symbols(s, d), ["repo_id"]).withColumn("avg", F.round("avg", 6)), _RANKS.format(pre=_SYM.format(m="''"), k="repo_id"))
 _add("complexity_by_module", lambda s, d: quality.by_module(_symbols(s, d)).withColumn("avg", F.round("avg", 6)), _RANKS.format(pre=_SYM.format(m=_MOD), k="repo_id, module"))
-_add("clone_clusters", lambda s, d: quality.clones(table(s, d, "clone_members")).withColumn("members", F.array_join("members", ",")))
 
 
 def _snapshot(s, d, new: bool):
@@ -190,7 +187,7 @@ _add("source_lines", lambda s, d: table(s, d, "files").where("content is not nul
 _add("modules_of_files", lambda s, d: table(s, d, "files").select("file_id", module_of(F.col("path")).alias("module")), f"SELECT file_id, {_MOD} AS module FROM (SELECT file_id, list_filter(string_split(replace(path, '\\', '/'), '/'), lambda x: x <> '') AS p FROM files)")
 _add("event_windows", lambda s, d: maintain.windowed_counts(table(s, d, "events"), "1 hour").select(F.col("start").cast("string").alias("start"), "event_type", "n", F.round("total", 4).alias("total")), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 _add("term_frequencies", lambda s, d: table(s, d, "documents").select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), f"SELECT term, count(*) AS n FROM (SELECT unnest({_TERMS.format('text')}) AS term FROM documents) GROUP BY 1")
-_add("embedding_pairs", lambda s, d: (lambda e: search.nearest(e.where("vec_id % 20 = 0"), e).withColumn("best", F.round("best", 5)))(table(s, d, "embeddings")), "SELECT q.vec_id, round(max(list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[])), 5) AS best FROM embeddings q JOIN embeddings x ON q.label = x.label AND q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1")
+_add("embedding_pairs", lambda s, d: (lambda e: search.nearest(e.where("vec_id % 20 = 0"), e).withColumn("best", F.round("best", 5)))(table(s, d, "embeddings")), "SELECT q.vec_id, round(max(list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[])), 5) AS best FROM embeddings q JOIN embeddings x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1")
 
 # ---- inventory
 
@@ -210,7 +207,7 @@ _add("token_account", lambda s, d: inventory.token_account(table(s, d, "files"))
 _add("repo_overview", lambda s, d: inventory.overview(table(s, d, "files")), "SELECT repo_id, coalesce(language, 'other') AS language, count(*) AS files, sum(coalesce(strlen(content), size, 0))::BIGINT AS bytes FROM files GROUP BY 1, 2")
 _add("snapshot_summary", lambda s, d: (lambda g: inventory.snapshot_summary(PropertyGraph(g.nodes.where("key % 10 <> 2"), g.edges), PropertyGraph(g.nodes.where("key % 10 <> 1"), g.edges)))(from_star_schema(s, d)), f"WITH {NODES} SELECT label, count(*) FILTER (key % 10 <> 2) AS before, count(*) FILTER (key % 10 <> 1) AS after, count(*) FILTER (key % 10 = 2) AS added, count(*) FILTER (key % 10 = 1) AS removed FROM nodes GROUP BY 1")
 _add("process_steps_renumbered", lambda s, d: inventory.renumber(table(s, d, "events").where("user_id is not null").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("process"), F.col("event_id").cast("string").alias("id"), F.col("event_id").alias("step"))), "SELECT 'u' || user_id AS process, event_id::VARCHAR AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS step FROM events WHERE user_id IS NOT NULL")
-_add("hits_by_process", lambda s, d: inventory.hits_by_process(table(s, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("value").alias("score")), table(s, d, "events").select(F.col("user_id").cast("string").alias("process"), F.col("event_id").cast("string").alias("id"))).select("process", F.size("hits").alias("n"), F.round("best", 6).alias("best")), "SELECT CASE WHEN user_id % 2 = 0 THEN user_id::VARCHAR END AS process, count(*)::INT AS n, round(max(value), 6) AS best FROM events WHERE event_id % 50 = 0 GROUP BY 1")
+_add("hits_by_process", lambda s, d: inventory.hits_by_process(table(s, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("value").alias("score")), table(s, d, "events").select(F.col("user_id").cast("string").alias("process"), F.col("event_id").cast("string").alias("id"))).select("process", F.size("hits").alias("n"), F.round("best", 6).alias("best")), "SELECT user_id::VARCHAR AS process, count(DISTINCT event_id)::INT AS n, round(max(value), 6) AS best FROM events GROUP BY 1")
 _add("find_symbols", lambda s, d: inventory.find_symbols(from_star_schema(s, d).nodes, "nation_1").select("id", "name"), f"WITH {NODES} SELECT id, name FROM nodes WHERE contains(lower(name), 'nation_1') ORDER BY (lower(name) <> 'nation_1')::INT, length(name), id LIMIT 20")
 _add("context_filter", lambda s, d: inventory.context_filter(from_star_schema(s, d).nodes, files=("customer/BUILDING", "nation"), labels=("Customer", "Nation")).select("id"), f"WITH {NODES} SELECT id FROM nodes WHERE label IN ('Customer', 'Nation') AND (file_path = 'customer/BUILDING' OR starts_with(file_path, 'customer/BUILDING/') OR starts_with(file_path, 'nation/'))")
 _add("rename_preview", lambda s, d: inventory.rename_preview(table(s, d, "files").select(F.concat_ws("|", "repo_id", "path").alias("path"), "content"), "ledger", s.createDataFrame([], "path string, line_no int")).select("path", "line_no"), r"WITH l AS (SELECT repo_id || '|' || path AS path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line_no FROM files WHERE content IS NOT NULL) SELECT path, line_no FROM l WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])ledger($|[^A-Za-z0-9_])')")

@@ -51,3 +51,14 @@ def test_names_ranks_and_cycles(spark):
     edges = spark.createDataFrame([(f"{a}{b}", a, b, "IMPORTS", 1.0, "", None) for a, b in ("ab", "ba", "bc", "ca", "dd", "ef")], E)
     g = PropertyGraph(spark.createDataFrame([("a",)], "id string"), edges)
     assert sorted(r["nodes"] for r in quality.file_cycles(g).collect()) == [["a", "b"], ["a", "b", "c"], ["d"]]
+
+
+def test_search_code_keeps_one_row_a_file(spark):
+    rows = [("a", "Function", "parse token", "src/x.py"), ("b", "Function", "token", "src/x.py"), ("c", "Function", "emit token now", "src/y.py"), ("d", "Class", "Tokenizer", "src/z.py"), ("e", "Function", "other", "src/w.py"), ("f", "Function", "token", None)]
+    n = spark.createDataFrame(rows, "id string, label string, name string, file_path string")
+    g = PropertyGraph(n, spark.createDataFrame([], "id string, source_id string, target_id string, type string, confidence double, reason string, step int"))
+    got = [(r["id"], r["tier"]) for r in inventory.search_code(g, "token", 10).collect()]
+    assert [t for _, t in got] == sorted(t for _, t in got) and {i for i, _ in got} >= {"c", "d", "f"} and len({i for i, _ in got} & {"a", "b"}) == 1 and ("d", 1) in got
+    v = spark.createDataFrame([("c", [1.0, 0.0]), ("e", [0.9, 0.1])], "node_id string, vector array<double>")
+    both = {r["id"] for r in inventory.search_code(g, "token", 10, vectors=v, query=[1.0, 0.0]).collect()}
+    assert {"c", "e"} <= both
