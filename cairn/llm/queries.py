@@ -98,11 +98,11 @@ def p9_shares(spark, d):
 
 
 def p10_found(spark, d):
-    return subjects.found(table(spark, d, "documents"))
+    return subjects.found(*_t(spark, d, "documents", "subject_labels", "subjects"))
 
 
 def p10_shares(spark, d):
-    assigned = subjects.found(table(spark, d, "documents"))
+    assigned = p10_found(spark, d)
     each = assigned.groupBy("doc_id").agg(F.collect_list("subject").alias("s")).select(F.explode("s").alias("subject"), (1 / F.size("s")).alias("part"))
     return each.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("part").alias("weight"))
 

@@ -271,3 +271,12 @@ def test_flagged_files_are_decided_by_a_chart(spark):
             assert cost >= by_chart + p.closed + p.mended
             flagged, charted = flagged + 1, charted + (by_chart > 0)
     assert flagged and charted >= 0.6 * flagged
+
+
+def test_plain_news_and_texts_without_a_term(spark):
+    rows = [(1, "The central bank raised borrowing costs to curb inflation and bond markets fell."), (2, "The striker scored in the semi-final of the world cup."), (3, "Physicists observed a black hole in a distant galaxy."), (4, "Der Landwirt baut Weizen und Rinder an."), (5, "Ayer por la noche no pude dormir."), (6, "They counted the money.")]
+    subj = spark.createDataFrame([("finance", "money, accounts, credit, tax and markets"), ("software", "compilers, runtimes and tooling")], "subject string, description string")
+    got = {}
+    for r in subjects.found(spark.createDataFrame(rows, "doc_id long, text string"), None, subj).collect():
+        got.setdefault(r["doc_id"], set()).add(r["subject"])
+    assert got == {1: {"finance"}, 2: {"sport"}, 3: {"science"}, 4: {"agriculture"}, 5: {subjects.FALLBACK}, 6: {"finance"}}
