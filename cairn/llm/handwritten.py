@@ -21,8 +21,20 @@ NOTICES = {
     "ne pas modifier": 1.0, "fichier produit par": 0.5, "fichier généré": 1.0, "généré automatiquement": 1.0,
     "nicht von hand": 1.0, "automatisch erzeugt": 1.0, "automatisch generiert": 1.0, "generierte datei": 1.0,
 }
-#: Directories that hold third-party copies, each of a library directory whose file bears its name.
-VENDOR_DIRS = frozenset("vendor vendors third_party third-party thirdparty external externals extern deps pods carthage bower_components node_modules jspm_packages site-packages".split())
+#: Phrases that only point at a line; it is a notice if it opens with one (see _OPENING).
+TRIGGERS = ("generated by", "generated from", "generated with", "generated using", "generated on", "generated file", "generated code", "generated source", "made by gnu", "created by", "produced by", "emitted by")
+_OPENING = re.compile(
+    r"^\W*(?:(?:this|the) (?:file|code|source|module|class|header|parser)\s+(?:is|was|has been)\s+)?(?:auto(?:matically)?[- ]?)?"
+    r"(?:generated|produced|emitted)\b(?: automatically)?\s+(?:file\b|code\b|source\b|on \d|(?:by|from|with|using)\s(?!hand\b))|^\W*a \w+ (?:parser|lexer|scanner|grammar)\b.*\b(?:made|generated|created) by\b"
+)
+#: A line about generation, not one that says its own file was generated.
+_ABOUT = re.compile(r"\b(?:documents?|describes?|explains?|shows?|checks?|helpers?|parses?|tests?|how|whether|why|edit freely)\b.*(?:generat|creat|produc|edit freely)")
+#: Directories that hold nothing but third-party copies, at any depth, and names that other code has too: there a library
+#: directory whose file bears its name must follow, or a file of a known library or with a version in its name.
+VENDOR_ONLY = frozenset("third_party third-party thirdparty external externals extern pods carthage bower_components node_modules jspm_packages site-packages".split())
+VENDOR_DIRS = VENDOR_ONLY | frozenset("vendor vendors deps".split())
+LIBRARIES = frozenset("jquery bootstrap lodash underscore backbone angular react vue ember d3 three moment handlebars mustache modernizr require knockout prototype mootools zepto chart popper socket.io axios normalize zlib sqlite3 miniz stb_image lodepng rapidjson pugixml tinyxml2 googletest gtest catch doctest".split())
+_VERSIONED = re.compile(r"^([a-z][a-z0-9_.]*?)[-._]v?\d+\.\d+(?:\.\d+)+(?:[-.](?:min|slim|prod|pkgd|umd|esm))?\.(?:js|mjs|cjs|css)$", re.I)
 LOCKFILES = frozenset("package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml composer.lock gemfile.lock cargo.lock poetry.lock pipfile.lock go.sum packages.lock.json workspace.lock".split())
 _MINIFIED = re.compile(r"[.\-](?:min|prod|bundle|chunk|packed)\.(?:js|mjs|cjs|ts|css)$", re.I)
 _GENERATED_NAME = re.compile(r"(?:\.pb\.(?:go|cc|h|rb)|_pb2(?:_grpc)?\.py|\.designer\.cs|\.g\.i\.cs|\.generated\.\w+)$", re.I)
@@ -49,8 +61,13 @@ def path_reason(path: str | None) -> str | None:
         return "minified"
     if _GENERATED_NAME.search(name):
         return "generated"
-    for i, d in enumerate(parts[:-2]):
-        if d.lower() in VENDOR_DIRS:
+    stem = re.split(r"[-.](?:v?\d|min\b|slim\b)|\.\w+$", name.lower(), maxsplit=1)[0]
+    if _VERSIONED.match(name):
+        return "vendored"
+    for i, d in enumerate(parts[:-1]):
+        if d.lower() in VENDOR_ONLY or d.lower() in VENDOR_DIRS and stem in LIBRARIES:
+            return "vendored"
+        if d.lower() in VENDOR_DIRS and i < len(parts) - 2:
             lib = parts[i + 1].lower().rstrip("0123456789.-_")
             if lib and (name.lower().startswith(lib) or len(parts) - i > 3):
                 return "vendored"
@@ -85,16 +102,30 @@ def header(text: str) -> str:
     return "\n".join(out)
 
 
+def _notice(low: str) -> bool:
+    """Whether a header says that a tool wrote its file: phrases that weigh 1 together, or a line that opens as a notice;
+    lines that are about generation do not count."""
+    weights, hits = list(NOTICES.values()), set()
+    for end, i in automaton((*NOTICES, *TRIGGERS)).iter(low):
+        start, stop = low.rfind("\n", 0, end) + 1, low.find("\n", end)
+        line = low[start : stop if stop >= 0 else len(low)]
+        if _ABOUT.search(line):
+            continue
+        if i < len(weights):
+            hits.add(i)
+        elif _OPENING.match(line):
+            return True
+    return sum(weights[i] for i in hits) >= 1
+
+
 def content_reason(text: str, script: bool) -> str | None:
-    """generated, vendored, data or minified by the text itself, or None; an empty text matches none."""
+    """generated, vendored, data, minified or numbered by the text itself, or None; an empty text matches none. numbered
+    are tables and accessors without a notice, told by the shape of their lines alone: the least certain of the rules."""
     if not text:
         return None
     head = header(text)
     if head:
-        low = head.lower()
-        hits = {i for _, i in automaton(tuple(NOTICES)).iter(low)}
-        weights = list(NOTICES.values())
-        if sum(weights[i] for i in hits) >= 1 or _SOURCE_LINE.search(head):
+        if _notice(head.lower()) or _SOURCE_LINE.search(head):
             return "generated"
         if _BANNER.search(head):
             return "vendored"
@@ -115,12 +146,12 @@ def content_reason(text: str, script: bool) -> str | None:
         if len(body) >= 8 and numbered >= 0.75 * len(body):
             shapes = {_DIGITS.sub(b"0", x) for x in body}
             if len(shapes) <= 0.45 * len(body):
-                return "generated"
+                return "numbered"
     return None
 
 
 def classify(files: DataFrame, config: DataFrame, *, key: str = "file_id") -> DataFrame:
-    """(file_id, path, reason): reason is ignored_dir, too_large, lockfile, minified, generated, vendored or data; null for
+    """(file_id, path, reason): reason is ignored_dir, too_large, lockfile, minified, generated, vendored, data or numbered; null for
     files written by hand and for configuration files, of which only folder and size count.
 
     Rules are tried in that order. The size is that of the content or, where that is null, the size column. A null

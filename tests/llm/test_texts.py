@@ -280,3 +280,15 @@ def test_plain_news_and_texts_without_a_term(spark):
     for r in subjects.found(spark.createDataFrame(rows, "doc_id long, text string"), None, subj).collect():
         got.setdefault(r["doc_id"], set()).add(r["subject"])
     assert got == {1: {"finance"}, 2: {"sport"}, 3: {"science"}, 4: {"agriculture"}, 5: {subjects.FALLBACK}, 6: {"finance"}}
+
+
+def test_notices_and_vendored_paths_at_large():
+    code = "\n\nint run(int a) {\n    return a + 1;\n}\n"
+    for line in ("// Generated by the protocol buffer compiler.  DO NOT EDIT!", "# Generated by Django 3.2 on 2021-05-01 10:00", "/* Generated by Cython 0.29 */", "// Generated by CoffeeScript 1.12.7", "// AUTO GENERATED FILE - DO NOT EDIT", "/* A Bison parser, made by GNU Bison 3.5.1.  */", "// This file is automatically generated from schema.xml"):
+        assert handwritten.content_reason(line + code, False) == "generated", line
+    for line in ("# This documents how the files are automatically generated by make; edit freely", "// Checks ids generated by the importer; do not edit rows while it runs", "// Helper for code generation: writes the header DO NOT EDIT.", "// Values generated by f are cached", "// Created by Ann on 3 May"):
+        assert handwritten.content_reason(line + code, False) is None, line
+    for path in ("third_party/zlib/inflate.c", "external/json.hpp", "lib/vendor/jquery.js", "src/jquery-3.6.0.js", "a/node_modules/x/index.js", "vendor/zlib/zlib.c"):
+        assert handwritten.path_reason(path) == "vendored", path
+    for path in ("src/core/deps/localGene.cs", "app/views/vendors/partial_ledger.cpp", "src/vendor/notes.py", "src/external_api.py", "src/v1.2.py"):
+        assert handwritten.path_reason(path) is None, path
