@@ -77,4 +77,4 @@ def encode_column(docs: DataFrame, key: str = "doc_id", text: str = "text", rank
 
 def count_column(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str = DEFAULT_RANKS) -> DataFrame:
     """(key, tokens int): only the number of ids, so that texts need not leave the worker."""
-    return docs.select(F.col(key), F.col(text).cast("string").alias("t")).mapInArrow(_mapper(lambda t: len(encode(t, ranks_path)), pa.int32(), "tokens"), f"{key} {docs.schema[key].dataType.simpleString()}, tokens int")
+    return spread(docs.select(F.col(key), F.col(text).cast("string").alias("t")), key).mapInArrow(_mapper(lambda t: len(encode(t, ranks_path)), pa.int32(), "tokens"), f"{key} {docs.schema[key].dataType.simpleString()}, tokens int")

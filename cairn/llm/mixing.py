@@ -36,7 +36,8 @@ def solve(sizes: DataFrame, goal: dict[str, float], caps: dict[str, int], *, tol
 
     Minimises sum of rate * log rate - rate over all documents (base rate 1: each once) under sum(rate * tokens) = goal_s
     and rate <= cap_s. The dual is convex and separable by source; each damped Newton step is one aggregation over
-    ``sizes`` (s, tokens, docs, mean), of which only one row a named source comes to the driver.
+    ``sizes`` (s, tokens, docs, mean), of which only one row a named source comes to the driver. Fails if a source has
+    not come within ``tol`` of its goal after ``max_iter`` steps.
     """
     lam = {s: 0.0 for s in goal}
     low, high = {s: -math.inf for s in goal}, {s: math.inf for s in goal}
@@ -66,6 +67,8 @@ def solve(sizes: DataFrame, goal: dict[str, float], caps: dict[str, int], *, tol
                 else:
                     step = lam[s] + math.copysign(max(1.0, abs(lam[s])), -miss)
             lam[s] = step
+    if open_:
+        raise ArithmeticError(f"no solution within {max_iter} steps for {sorted(open_)}")
     return lam
 
 
