@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn.cypher.parser import CypherError, Node, Rel, Statement, parse
 from cairn.graph import PropertyGraph
+from cairn.schema import EDGE_TYPES, STAR_TYPES
 from cairn.operators import search
 
 
@@ -52,22 +53,26 @@ class CypherEngine:
 
     def _edges(self, r: Rel, a: str, b: str) -> DataFrame:
         types = (r.type,) if r.type else ()
+        if self.dialect == "A" and r.type and r.type not in EDGE_TYPES + STAR_TYPES:
+            types = ()  # that dialect takes a type outside the closed set for no restriction
         e = self.graph.both_ways(*types) if r.direction == "both" else self.graph.typed(*types)
         src, dst = ("target_id", "source_id") if r.direction == "in" else ("source_id", "target_id")
-        e = e.select(F.col(src).alias(f"_s_{a}_{b}"), F.col(dst).alias(f"_t_{a}_{b}"), *([F.struct("type", "confidence", "reason", "step").alias(f"{r.var}__rel")] if r.var else []))
+        s, t = f"_s_{a}_{b}", f"_t_{a}_{b}"
         if (r.low, r.high) == (1, 1):
-            return e
+            return e.select(F.col(src).alias(s), F.col(dst).alias(t), *([F.struct("type", "confidence", "reason", "step").alias(f"{r.var}__rel")] if r.var else []))
         if not 1 <= r.low <= r.high <= 10:
             raise CypherError("path lengths run from 1 to 10")
-        e = e.select(f"_s_{a}_{b}", f"_t_{a}_{b}").distinct()
-        s, t = f"_s_{a}_{b}", f"_t_{a}_{b}"
-        step, out = e, e if r.low == 1 else None
+        # one row a path, which passes no edge twice
+        e = e.select(F.col(src).alias(s), F.col(dst).alias(t), "id")
+        nxt = e.select(F.col(s).alias("_m"), F.col(t).alias("_n"), F.col("id").alias("_e"))
+        step = e.select(s, t, F.array("id").alias("_path"))
+        out = step if r.low == 1 else None
         for k in range(2, r.high + 1):
-            nxt = e.select(F.col(s).alias("_m"), F.col(t).alias("_n"))
-            step = step.join(nxt, step[t] == nxt["_m"]).select(s, F.col("_n").alias(t)).distinct()
+            on = (F.col(t) == F.col("_m")) & ~F.array_contains("_path", F.col("_e"))
+            step = step.join(nxt, on).select(s, F.col("_n").alias(t), F.concat("_path", F.array("_e")).alias("_path"))
             if k >= r.low:
                 out = step if out is None else out.unionByName(step)
-        return out.distinct()
+        return out.select(s, t)
 
     def _match(self, s: Statement) -> DataFrame:
         rows: DataFrame | None = None
@@ -167,6 +172,10 @@ class CypherEngine:
         if kind == "=~":
             if e[2][0] != "lit":
                 raise CypherError("=~ takes a literal pattern")
+            try:
+                self.graph.nodes.sparkSession._jvm.java.util.regex.Pattern.compile(str(e[2][1]))
+            except Exception:  # no pattern: no row matches it
+                return F.lit(False)
             return F.coalesce(a.cast("string").rlike(str(e[2][1])), F.lit(False))
         if kind in ("+", "-"):
             if kind == "+" and any(x[0] == "lit" and isinstance(x[1], str) for x in (e[1], e[2])):

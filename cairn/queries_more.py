@@ -22,9 +22,22 @@ def _file(s) -> str:
 
 # ---- pattern language
 
+
+def _roads(s, d):
+    """Suppliers, nations and regions with their edges."""
+    g = from_star_schema(s, d)
+    e = g.typed("IN_REGION", "IN_NATION").where("source_id like 'Nation%' or source_id like 'Supplier%'")
+    return PropertyGraph(g.nodes.where("label in ('Supplier', 'Nation', 'Region')"), e)
+
+
+
 _cypher("agg_avg", "MATCH (n:Customer) RETURN n.kind, count(n.amount) AS c, avg(n.amount) AS a", ["kind", "c", "a"], "SELECT kind, count(amount) AS c, avg(amount) AS a FROM nodes WHERE label = 'Customer' GROUP BY 1")
 QUERY = "MATCH (n:Customer) WHERE (n.kind = 'BUILDING' OR n.kind = 'MACHINERY') AND NOT (n.amount < 0 OR n.amount > 5000) RETURN n.id AS i"
 _cypher("filter_parentheses", QUERY, ["id"], "SELECT id FROM nodes WHERE label = 'Customer' AND (kind = 'BUILDING' OR kind = 'MACHINERY') AND NOT (amount < 0 OR amount > 5000)")
+_cypher("var_length_paths", "MATCH (a:Supplier)-[:IN_NATION*1..2]->(b) RETURN b.id, count(*) AS n", ["id", "n"], "SELECT t AS id, count(*) AS n FROM edges WHERE type = 'IN_NATION' AND starts_with(s, 'Supplier') GROUP BY 1")
+_WALKS = "WITH {n}, {e}, k AS (SELECT row_number() OVER () AS id, s, t FROM edges WHERE type IN ('IN_REGION', 'IN_NATION') AND (starts_with(s, 'Nation') OR starts_with(s, 'Supplier'))), u AS (SELECT * FROM k UNION ALL SELECT id, t, s FROM k)"
+_add("path_counts", lambda s, d: CypherEngine(_roads(s, d)).run("MATCH (a:Nation)-[*2..2]-(b:Nation) RETURN a.id, b.id, count(*) AS n").toDF("a", "b", "n"), _WALKS.format(n=NODES, e=EDGES) + " SELECT x.s AS a, y.t AS b, count(*) AS n FROM u x JOIN u y ON x.t = y.s AND x.id <> y.id WHERE starts_with(x.s, 'Nation') AND starts_with(y.t, 'Nation') GROUP BY 1, 2")
+_cypher("filter_bad_regex", "MATCH (n:Region) WHERE n.name =~ '[' OR n.name = 'ASIA' RETURN n.id AS i", ["id"], "SELECT id FROM nodes WHERE label = 'Region' AND name = 'ASIA'")
 
 
 def columns_named(s, d):

@@ -80,3 +80,15 @@ def test_guard_reads_literals_and_comments():
     assert not is_write_query("MATCH (n) WHERE n.name = 'DELETE x' RETURN n // CREATE (")
     assert is_write_query("match (n) set n.x = 1 return n")
     assert parse("MATCH (n) WHERE n.a = 'it\\'s' RETURN n").where[2] == ("lit", "it's")
+
+
+def test_paths_types_and_patterns(spark):
+    n = spark.createDataFrame([(i, "Function", i, "p") for i in "abc"], "id string, label string, name string, file_path string")
+    e = spark.createDataFrame([("1", "a", "b", "CALLS", 1.0, "", None), ("2", "b", "a", "CALLS", 1.0, "", None), ("3", "b", "c", "USES", 1.0, "", None)], "id string, source_id string, target_id string, type string, confidence double, reason string, step int")
+    g = PropertyGraph(n, e)
+    run = lambda q, d="std": sorted(tuple(r) for r in CypherEngine(g, d).run(q).collect())
+    # one row a path without a repeated edge: a>b, a>b>a, a>b>c
+    assert run("MATCH (x:Function)-[*1..3]->(y:Function) WHERE x.name = 'a' RETURN y.name") == [("a",), ("b",), ("c",)]
+    assert run("MATCH (x:Function)-[:NO_SUCH]->(y:Function) RETURN y.name") == []
+    assert len(run("MATCH (x:Function)-[:NO_SUCH]->(y:Function) RETURN y.name", "A")) == 3
+    assert run("MATCH (x:Function) WHERE x.name =~ '[' RETURN x.name") == []
