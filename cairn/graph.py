@@ -54,8 +54,10 @@ class PropertyGraph:
         return self.nodes.select("id").join(out, "id", "left").join(into, "id", "left").select("id", F.coalesce("out_degree", zero).alias("out_degree"), F.coalesce("in_degree", zero).alias("in_degree"))
 
     def names(self) -> DataFrame:
-        """(name, ids): the name index, ids sorted."""
-        return self.nodes.groupBy("name").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        """(name, id, same): the name index, a row a node, with the number of nodes of its name; a name that a third of all
+        nodes bear is never gathered."""
+        n = self.nodes.groupBy(F.col("name").alias("_of")).agg(F.count(F.lit(1)).alias("same"))
+        return self.nodes.select("name", "id").join(n, F.col("name").eqNullSafe(F.col("_of"))).select("name", "id", "same")
 
     def dangling(self) -> DataFrame:
         """Edges of which an end is missing."""

@@ -64,9 +64,28 @@ def dead_code(graph: PropertyGraph) -> DataFrame:
     return own.join(called, "id", "left_anti").join(declared, "id", "left_anti").select("id")
 
 
+# The layers by label, then by parts of the path in lower case, first match first.
+LAYER_LABELS = (
+    ("Presentation", ("Controller", "ControllerAction", "ApiEndpoint", "View")),
+    ("Business", ("Service",)),
+    ("Data", ("Repository", "DbContext", "DbEntity")),
+)
+LAYER_PATHS = (
+    ("Presentation", ("controller", "/views/")),
+    ("Business", ("service", "/bal/", "/bll/")),
+    ("Data", ("repository", "/dal/", "entities", "dbcontext")),
+)
+
+
 def layer(label, path):
-    low = F.lower(path)
-    return F.when(label.isin("Controller", "ControllerAction", "ApiEndpoint", "View"), "Presentation").when(label == "Service", "Business").when(label.isin("Repository", "DbContext", "DbEntity"), "Data").when(low.contains("controller") | low.contains("/views/"), "Presentation").when(low.contains("service") | low.contains("/bal/") | low.contains("/bll/"), "Business").when(low.contains("repository") | low.contains("/dal/") | low.contains("entities") | low.contains("dbcontext"), "Data")
+    """Column: the layer of a node by its label, else by its path; null for none."""
+    tests = [(name, label.isin(*labels)) for name, labels in LAYER_LABELS]
+    for name, parts in LAYER_PATHS:
+        hit = F.lit(False)
+        for part in parts:
+            hit = hit | F.lower(path).contains(part)
+        tests.append((name, hit))
+    return F.coalesce(*[F.when(hit, name) for name, hit in tests])
 
 
 def layer_violations(graph: PropertyGraph) -> DataFrame:

@@ -177,7 +177,6 @@ _add("manifest_diff", lambda s, d: maintain.manifest_diff(_manifest(s, d, False)
 
 _add("todo_markers", lambda s, d: extract.todos(table(s, d, "files")).select("file_id", "line_no", "kind"), r"WITH l AS (SELECT file_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM files WHERE content IS NOT NULL), m AS (SELECT file_id, line_no::INT AS line_no, regexp_extract(line, '(?://|#|--|/\*|<!--|^\s*\*).*?\b(TODO|FIXME|HACK|XXX)\b', 1) AS kind FROM l) SELECT * FROM m WHERE kind <> ''")
 _add("endpoints", lambda s, d: extract.endpoints(table(s, d, "files")))
-_add("env_inventory", lambda s, d: extract.env_inventory(table(s, d, "files")))
 _add("db_columns", lambda s, d: extract.tables(table(s, d, "files")))
 _add("file_tree", lambda s, d: extract.file_tree(table(s, d, "files")).nodes.select("id", "label", "name"), "WITH p AS (SELECT DISTINCT string_split(path, '/') AS s FROM files), x AS (SELECT s, unnest(range(1, len(s) + 1)) AS n FROM p) SELECT DISTINCT CASE WHEN n = len(s) THEN 'File' ELSE 'Folder' END || ':' || array_to_string(s[1:n], '/') AS id, CASE WHEN n = len(s) THEN 'File' ELSE 'Folder' END AS label, s[n] AS name FROM x")
 _add("mentions", lambda s, d: extract.mentions(table(s, d, "documents"), table(s, d, "clone_members").select("name")), r"WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '[^\w]+')) AS name FROM documents WHERE text IS NOT NULL) SELECT doc_id, name FROM w WHERE length(name) >= 5 AND name IN (SELECT name FROM clone_members)")

@@ -70,7 +70,7 @@ def _by_label(g):
 _add("snapshot_round_trip", lambda s, d: _by_label(_saved(s, d, False)), _BY_LABEL)
 _add("csv_round_trip", lambda s, d: _by_label(_saved(s, d, True)), _BY_LABEL)
 _add("dot_export", lambda s, d: snapshot.dot_lines(from_star_schema(s, d)).groupBy((F.col("line").contains(" -> ")).alias("edge")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars")), f"WITH {NODES}, {EDGES} SELECT false AS edge, count(*) AS n, sum(length(id) + length(name) + 14)::BIGINT AS chars FROM nodes UNION ALL SELECT true, count(*), sum(length(s) + length(t) + length(type) + 20)::BIGINT FROM edges")
-_add("name_index", lambda s, d: from_star_schema(s, d).nodes.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")), f"WITH {NODES} SELECT name, count(*) AS n, min(id) AS first FROM nodes GROUP BY 1")
+_add("name_index", lambda s, d: from_star_schema(s, d).names(), f"WITH {NODES} SELECT name, id, count(*) OVER (PARTITION BY name) AS same FROM nodes")
 _add("file_lookup", lambda s, d: from_star_schema(s, d).nodes.where("file_path = 'customer/BUILDING'").select("id", "name"), f"WITH {NODES} SELECT id, name FROM nodes WHERE file_path = 'customer/BUILDING'")
 
 
@@ -244,3 +244,9 @@ w(run_id, id, root) AS (SELECT run_id, a, a FROM u UNION SELECT w.run_id, u.b, w
 c AS (SELECT run_id, id, min(root) AS cluster FROM w GROUP BY 1, 2)
 SELECT run_id, cluster, id AS member_id, count(*) OVER (PARTITION BY run_id, cluster) AS size FROM c"""
 _add("clone_clusters", lambda s, d: quality.clone_members(table(s, d, "clone_members")).select("run_id", "cluster", "member_id", "size"), _CLONES)
+
+_USES = r"""\b(?:getenv|Getenv|LookupEnv|GetEnvironmentVariable|readEnv|env::var|env::var_os|environ\.get|ENV\.fetch)\(\s*["''`]([^"''`\n]+)["''`]"""
+_add("env_inventory", lambda s, d: extract.env_inventory(table(s, d, "files")), rf"""
+WITH d AS (SELECT DISTINCT repo_id, unnest(regexp_extract_all(content, '(?m)^[ \t]*(?:export[ \t]+)?([A-Za-z][\w.\-]*)[ \t]*=', 1)) AS name FROM files WHERE content IS NOT NULL AND language IS NULL AND regexp_matches(path, '\.(env|properties)$|(^|/)\.env$')),
+u AS (SELECT repo_id, name, count(*) AS uses FROM (SELECT repo_id, unnest(regexp_extract_all(content, '{_USES}', 1)) AS name FROM files WHERE content IS NOT NULL AND language IS NOT NULL) GROUP BY 1, 2)
+SELECT coalesce(d.repo_id, u.repo_id) AS repo_id, coalesce(d.name, u.name) AS name, d.name IS NOT NULL AS declared, coalesce(uses, 0) AS uses FROM d FULL JOIN u ON d.repo_id = u.repo_id AND d.name = u.name""")
