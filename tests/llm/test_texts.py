@@ -238,6 +238,44 @@ def test_kinds_follow_from_the_edits():
     assert syntax.examine(VALID["rust"], "python")[1] == "mismatch"
 
 
+def test_a_file_is_told_to_parse_only_if_it_was_read(spark, monkeypatch):
+    many = ", ".join(f"x{i} + {i}" for i in range(1_500))
+    cases = {
+        ("cpp", f"int y = f(a < b, c > 1, {many});\n"): (0, None, True),  # valid, of 6,000 tokens in one stretch
+        ("cpp", f"int y = f(a < b, c > 1, , {many});\n"): (1, "local", False),
+        ("rust", "fn f() { m!(a ] b); }\n"): (1, "local", True), ("java", "@A(b ] c) class A { }"): (1, "local", True),  # a bracket that no chart pairs
+        ("cpp", "class A { using x = a ] b; };"): (1, "local", True), ("cpp", "class A { using x = a; };"): (0, None, True),
+        ("cobol", "x"): (None, "no grammar", None),
+    }
+    df = spark.createDataFrame([(i, 1, "p", t, 1, lang, None, "") for i, (lang, t) in enumerate(cases)], FILES)
+    got = {r["file_id"]: (r["cost"], r["kind"], r["exact"]) for r in syntax.check(df).collect()}
+    assert got == dict(enumerate(cases.values()))
+    assert sorted(r[0] for r in syntax.found(df).collect()) == [i for i, w in enumerate(cases.values()) if w[0]]
+    rates = {r["language"]: (r["files"], r["broken"], r["inexact"], r["unread"], r["rate"]) for r in syntax.rates(df).collect()}
+    assert rates == {"cpp": (4, 2, 1, 0, 0.5), "rust": (1, 1, 0, 0, 1.0), "java": (1, 1, 0, 0, 1.0), "cobol": (1, 0, 0, 1, None)}
+
+    def slow(key, timeout):
+        raise TimeoutError
+
+    for lang, text in [*VALID.items(), ("python", "y = f(a, , 1)\n"), ("java", "class A { int x = 1 2; }")]:
+        p = syntax.Parser(lang)
+        monkeypatch.setattr(p, "match", slow)
+        monkeypatch.setattr(syntax, "parser", lambda _: p)
+        monkeypatch.setattr(syntax, "MAX_LENGTH", 2)
+        assert (syntax.judge(text, lang)[0] == 0) is (text in VALID.values()), lang  # what the recogniser gives up on is read all the same
+
+
+def test_reading_place_by_place_agrees_with_the_chart():
+    rng = random.Random(7)
+    read = 0
+    for lang, goal, s in [("java", "stmt", "i=i.i+i;"), ("python", "simple", "i=i+n,s"), ("cpp", "stmt", "i=i<i;"), ("rust", "stmt", "i=i*n;"), ("go", "stmt", "i=i*n;")]:
+        for _ in range(60):
+            t = "".join(rng.choice("ins.,;=*<") if rng.random() < 0.1 else c for c in s)
+            assert syntax.accepts(lang, goal, t) is (syntax._charted(lang, goal, t, 0)[0] == 0), (lang, t)
+            read += syntax.accepts(lang, goal, t)
+    assert 50 < read < 290
+
+
 @pytest.mark.parametrize("text, want", [("(]", 1), ("{(}", 1), ("())", 1), ("([)]", 2), ("", 0), ("((", 2), ("(){}[]", 0), (")(", 2)])
 def test_brackets_pair_at_least_cost(text, want):
     pairs = syntax._pair(text)
