@@ -191,6 +191,16 @@ def test_subjects_agree_with_raters(spark):
     assert 2 * both / (mine.count() + rated.count()) > 0.9
 
 
+def test_the_threshold_counts_every_rating(spark):
+    # the raters of the first 50,000 documents name both subjects of a text, those of the other 150,000 only the first
+    ids = spark.range(200_000).withColumnRenamed("id", "doc_id")
+    scored = ids.selectExpr("doc_id", "'law' as subject", "9L as n", "0.695D as share", "9L as best", "0.695D as top").union(ids.selectExpr("doc_id", "'sport'", "4L", "0.305D", "9L", "0.695D"))
+    labels = ids.selectExpr("doc_id", "'Law ' as subject").union(ids.where("doc_id < 50000").selectExpr("doc_id", "'sport'"))
+    assert subjects.calibrate(scored, labels) == (31 + 50) / 200
+    assert subjects.calibrate(scored, labels.where("doc_id < 50000")) == (5 + 30) / 200
+    assert subjects.calibrate(scored, labels.limit(0)) == subjects.THRESHOLD
+
+
 def test_a_text_of_many_subjects_keeps_its_greatest(spark):
     seven = {"agriculture": "Ernte", "education": "Diplom", "energy": "Kraftwerk", "finance": "Bilanz", "health": "Apotheke", "law": "Anwalt", "logistics": "Fracht"}
     df = spark.createDataFrame([(1, ", ".join(seven.values()) + "."), (2, ", ".join([*seven.values(), "Diplom"]) + ".")], "doc_id long, text string")
